@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, hamming, packing, quality, secret_scan, token_files
+from . import bpe_tree, chat, hamming, jaccard, packing, quality, secret_scan, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,13 +59,17 @@ def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, files)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op6_quality_rules, op7_multi_index_hashing, op10_token_files)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
