@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, hamming, jaccard, packing, quality, secret_scan, token_files
+from . import bpe_tree, chat, hamming, jaccard, packing, quality, secret_scan, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,7 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op10_token_files)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
