@@ -7,6 +7,8 @@ an empty result.
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +36,17 @@ def durable(df: DataFrame) -> DataFrame:
     root = shared_root(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    gc.collect()  # shuffle files of what is now written go once nothing refers to them
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return held
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where it stands."""
+    root, paths = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths.get("PYTHONPATH")) if x)
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, hamming, jaccard, packing, quality, secret_scan, suffix_dedup, token_files
+from . import bpe_tree, chat, hamming, jaccard, line_dedup, packing, quality, secret_scan, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,13 +69,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, files)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op10_token_files)}
+    return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op9_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
