@@ -93,15 +93,14 @@ class Block:
         self.tables = []
         for j in range(self.codes.shape[1]):
             order = np.argsort(self.codes[:, j], kind="stable")
-            values, starts = np.unique(self.codes[order, j], return_index=True)
-            self.tables.append((order, values, np.append(starts, len(order))))
+            values, sizes = np.unique(self.codes[order, j], return_counts=True)
+            self.tables.append((order, values, sizes))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within radius: pigeonhole probes, then the whole code."""
         each, seen = radius // len(self.tables), np.zeros(len(self.ids), bool)
-        for (order, values, starts), own in zip(self.tables, code, strict=True):
-            for b in np.flatnonzero(np.bitwise_count(values ^ own) <= each):
-                seen[order[starts[b] : starts[b + 1]]] = True
+        for (order, values, sizes), own in zip(self.tables, code, strict=True):
+            seen[order[np.repeat(np.bitwise_count(values ^ own) <= each, sizes)]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
