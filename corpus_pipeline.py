@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that neither the base rule nor the learned list rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
-    return quality.judged(rows, labels).where("kept").select("whole.*")
+    return quality.kept_only(rows, labels).select("whole.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

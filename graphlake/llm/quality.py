@@ -182,3 +182,13 @@ def judged(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Dat
     rules = learn_rules(docs, labels, most)
     scored = with_statistics(docs).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_only(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """The rows of docs that judged() keeps, with its columns.
+
+    The row number keeps the filter above the statistics: pushed below, it would compute them anew
+    for every window of a text.
+    """
+    scored = judged(docs, labels, most).withColumn("_row", F.monotonically_increasing_id())
+    return scored.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
