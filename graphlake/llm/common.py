@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,10 +37,18 @@ def durable(df: DataFrame) -> DataFrame:
     root = shared_root(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(root)
-    held = df.checkpoint(eager=True)
-    gc.collect()  # shuffle files of what is now written go once nothing refers to them
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return held
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of what durable() has written; call it once nothing else refers to them.
+
+    Two rounds: listeners hold a finished query for a moment, and its shuffle goes a round after it.
+    """
+    for _ in range(2):
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def importable(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BLOB, Columns, bucket_count, dealt, doc_bucket, loaded, one_blob, per_bucket, with_texts
-from .common import arrow_schema, durable, slices
+from .common import arrow_schema, durable, release, slices
 from .suffix_sort import common_prefix_at_least, suffix_array, words_at
 from .words import ODD, mixed
 
@@ -316,7 +316,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = CROWD) -> Da
     """
     texts, buckets = binary_texts(docs), bucket_count(docs)
     first = durable(met_by_piece(found_stretches(texts, length, buckets), buckets, crowd))
-    second = met_in_blocks(fetched(texts, first.where(f"kind = {NEED}"), length, buckets), length, buckets)
+    release(docs.sparkSession)
+    second = durable(met_in_blocks(fetched(texts, first.where(f"kind = {NEED}"), length, buckets), length, buckets))
+    release(docs.sparkSession)
     gone = first.where(f"kind = {GONE}").unionByName(second)
     schema = "doc_id long, n_bytes long, kept binary, removed array<struct<start: long, stop: long>>"
     out = arrow_schema(schema)
