@@ -85,5 +85,45 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_chat_format, op2_secret_scan, op3_bpe_tree, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_multi_index_hashing, op8_ngram_jaccard_join, op9_line_dedup, op10_token_files)}
 
 
+#: The words of a text, as DuckDB has them.
+WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+OP1_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+written AS (
+  SELECT *, CASE WHEN contains(text, '<|im_start|>') THEN replace(text, '<|', '<\|') ELSE text END AS body FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("text")} AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 5 THEN list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.r)
+SELECT doc_id, min(r) AS class_id, coalesce(any_value(k), 0) AS n_links FROM reach LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) t ON t.a = doc_id GROUP BY doc_id
+"""
+
+OP9_SQL = f"""
+WITH line AS (SELECT doc_id, i, x, list_sort(list_distinct({WORDS.format("x")})) AS a FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents WHERE text <> ''))),
+class AS (SELECT row_number() OVER () AS c, a, len(a) AS n, d, k FROM (SELECT a, min(doc_id * 1000000 + i) AS k, min(doc_id) AS d FROM line WHERE len(a) > 0 GROUP BY a)),
+df AS (SELECT t, count(*) AS f FROM (SELECT unnest(a) AS t FROM class) GROUP BY t),
+tok AS (SELECT c, n, t, row_number() OVER (PARTITION BY c ORDER BY f, t) AS r FROM (SELECT c, n, unnest(a) AS t FROM class) JOIN df USING (t)),
+pre AS (SELECT c, n, t FROM tok WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+cand AS (SELECT DISTINCT x.c AS c, y.c AS e FROM pre x JOIN pre y ON x.t = y.t AND x.c <> y.c AND x.n >= 0.8 * y.n - 1e-9 AND y.n >= 0.8 * x.n - 1e-9),
+hit AS (SELECT DISTINCT p.c FROM cand JOIN class p ON p.c = cand.c JOIN class q ON q.c = cand.e WHERE q.k < p.k AND len(list_intersect(p.a, q.a)) >= 0.8 * (p.n + q.n - len(list_intersect(p.a, q.a))) - 1e-9),
+judged AS (SELECT line.doc_id, line.i, line.x, class.c IS NOT NULL AND (class.k < line.doc_id * 1000000 + line.i OR class.c IN (SELECT c FROM hit)) AS gone FROM line LEFT JOIN class ON class.a = line.a)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_lines, coalesce(m.g, 0) AS n_removed, sha256(coalesce(m.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL}
