@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.traverse import durable
+
 #: Upper bounds of the latency buckets in ms; beyond the last stands infinity.
 LATENCY_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
 
 
 def nearest_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """One row (value): the sorted values' entry at trunc(p / 100 * (n - 1)); no interpolation.
+    """One row (value): the sorted values' entry at trunc(p / 100 * (n - 1)); no interpolation. Null for no values.
 
-    The rank comes from counts of distinct values, which partial aggregation shrinks first.
+    Values are counted, dealt by range and the ranges' totals summed up in order; only the range that
+    holds the rank is ranked row by row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    at = F.floor(F.lit(p / 100.0) * (F.col("total") - 1))
-    return upto.crossJoin(F.broadcast(total)).where(F.col("upto") > at).agg(F.min(value).alias("value"))
+    dealt = durable(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    before = 0
+    totals = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row a partition
+    rank = int(p / 100.0 * (sum(n for _, n in totals) - 1)) if totals else 0
+    for part, n in totals:
+        if before + n > rank:
+            break
+        before += n
+    else:
+        part = -1
+    one = dealt.where(F.col("part") == part).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy(value)))
+    return one.where(F.col("upto") > rank - before).agg(F.min(value).alias("value"))
 
 
 def latency_bucket(ms: Column) -> Column:

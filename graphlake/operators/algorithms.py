@@ -58,5 +58,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 5) -
 
 
 def keep_last(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
-    """The last n rows of each key by order (plan statistics, audit trails)."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*(key or [F.lit(1)])).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
+    """The last n rows of each key by order (plan statistics, audit trails); without a key, of all."""
+    if not key:
+        return rows.orderBy(F.desc(order)).limit(n)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")

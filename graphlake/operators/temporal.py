@@ -45,8 +45,16 @@ def at_time(graph: PropertyGraph, ts: int) -> PropertyGraph:
     return PropertyGraph(graph.tables, graph.edges_of(as_of=ts), graph.labels, None if graph.versions is None else latest(graph.versions, ts))
 
 
-def nearest_snapshot(snapshots: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked as_of the snapshot with the greatest ts not above it; none: no row."""
-    times = snapshots.select("ts").distinct()
-    hit = asked.select("as_of").distinct().join(times, times["ts"] <= F.col("as_of")).groupBy("as_of").agg(F.max("ts").alias("ts"))
+def nearest_snapshot(snapshots: DataFrame, asked: DataFrame, most: int = 10_000) -> DataFrame:
+    """For each asked as_of the snapshot with the greatest ts not above it; none: no row.
+
+    Up to `most` snapshot times are looked up in a list inside the row; more of them meet by a join.
+    """
+    times, wanted = snapshots.select("ts").distinct(), asked.select("as_of").distinct()
+    listed = [r.ts for r in times.limit(most + 1).collect()]
+    if len(listed) <= most:
+        known = F.array(*(F.lit(t) for t in sorted(listed))) if listed else F.expr("cast(array() as array<bigint>)")
+        hit = wanted.withColumn("ts", F.array_max(F.filter(known, lambda t: t <= F.col("as_of")))).where("ts is not null")
+    else:
+        hit = wanted.join(times, times["ts"] <= F.col("as_of")).groupBy("as_of").agg(F.max("ts").alias("ts"))
     return hit.join(snapshots, "ts")
