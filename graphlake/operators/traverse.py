@@ -19,9 +19,10 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed and held in spark.checkpoint.dir; local masters that set none get a folder of their own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphlake-"))
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="graphlake-"))
     return df.checkpoint()
 
 
