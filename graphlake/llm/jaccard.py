@@ -13,7 +13,8 @@ verified cluster). So tasks are bounded whatever the component's size, and a com
 all counted, those that no tree has found included.
 
 A document without words matches nothing; one of fewer than five words has one shingle of all its
-words. A null id gets no class id of its own. Extra columns are ignored.
+words. A null id gets no class id of its own. Extra columns are ignored. An id names one text: rows
+that share both count as copies, but of several texts under one id only one is verified.
 """
 
 from __future__ import annotations
