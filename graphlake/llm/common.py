@@ -43,10 +43,10 @@ def durable(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of what durable() has written; call it once nothing else refers to them.
 
-    Two rounds: listeners hold a finished query for a moment, and its shuffle goes a round after it.
+    Some rounds: listeners hold a finished query for a moment, and its shuffle goes a round after it.
     """
-    for _ in range(2):
-        time.sleep(0.4)
+    for _ in range(4):
+        time.sleep(0.5)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 

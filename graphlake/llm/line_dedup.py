@@ -12,7 +12,9 @@ word stay and match nothing.
    a word of both prefixes.
 3. Rows meet by word. Pairs whose sizes, whose places in the order, or whose 64-bit parity marks
    (every differing word flips one bit) rule out the threshold are dropped; the rest are candidates.
-4. Both lines of a candidate are fetched, and their Jaccard similarity is computed from all words.
+4. Pairs are brought together by the later line's document, each once; a bucket of pairs fetches
+   each line that it needs once, and computes Jaccard similarities from all words, the likeliest
+   candidate of a line first, until one holds up.
 5. Each document meets its lines that go.
 
 Rows move as blobs (see blobs.py). Rows with the same id are told apart by their texts' checksum;
@@ -33,11 +35,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blobs import BLOB, Columns, bucket_count, dealt, doc_bucket, loaded, one_blob, per_bucket, with_texts
-from .common import durable, slices
+from .common import durable, release, slices
 from .words import ODD, mixed, word_hashes
 
 SLOTS, PARTS, HELD = 1 << 20, 64, 1 << 20
-GONE, CLASS, PREFIX, HALF = 0, 1, 2, 3
+GONE, CLASS, PREFIX, HALF, PAIR = 0, 1, 2, 3, 4
 
 
 def string_texts(docs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def word_counts(texts: DataFrame) -> np.ndarray:
 
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 8 << 20):
                 seen = pc.value_counts(pc.ascii_split_whitespace(part.column("text").cast(pa.large_string())).flatten())
                 words = np.array(seen.field("values").to_pylist(), dtype=object)
                 slot = (pd.util.hash_array(words, categorize=False) & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -142,7 +144,7 @@ def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets:
                     tags.append(np.full(len(part), tag, np.uint16))
                     numbers.append(np.arange(lo, lo + len(part), dtype=np.uint32))
                     size += len(text) if not lo else 0
-                    if len(lines) > HELD - 1 or size > 12 << 20:
+                    if len(lines) > HELD - 1 or size > 5 << 20:
                         every = [np.concatenate(x) for x in (docs, tags, numbers)]
                         for i in range(0, len(lines), HELD):
                             yield from worked(lines[i : i + HELD], *(x[i : i + HELD] for x in every))
@@ -155,8 +157,8 @@ def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets:
     return texts.mapInArrow(run, BLOB)
 
 
-def candidate_pairs(c: Columns, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(earlier, later) rows of c that share a word and pass the size, place and mark filters."""
+def candidate_pairs(c: Columns, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(earlier, later, differing mark bits) of rows that share a word and pass the size, place and mark filters."""
     token = c["high"].astype(np.uint64) << np.uint64(32) | c["low"]
     order = np.lexsort((c["line"], c["tag"], c["doc"], c["a"], c["mark"], c["n"], token))
     t = token[order]
@@ -174,12 +176,12 @@ def candidate_pairs(c: Columns, threshold: float) -> Iterator[tuple[np.ndarray,
         if fits.any():
             p, q = order[x[fits]], order[y[fits]]
             later = (c["doc"][p] > c["doc"][q]) | ((c["doc"][p] == c["doc"][q]) & ((c["tag"][p] > c["tag"][q]) | ((c["tag"][p] == c["tag"][q]) & (c["line"][p] > c["line"][q]))))
-            yield np.where(later, q, p), np.where(later, p, q)
+            yield np.where(later, q, p), np.where(later, p, q), np.bitwise_count(mark[x[fits]] ^ mark[y[fits]])
         step += 1
 
 
 def met(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """Blobs by document: GONE, and HALF for each line of a candidate pair."""
+    """Blobs by document: GONE, and PAIR by the later line's, as often as a pair shares words of its prefixes."""
 
     def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if GONE in held:
@@ -193,16 +195,41 @@ def met(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
             yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), {k: c[k][gone] for k in ("doc", "tag", "line")})
         if PREFIX in held:
             c = loaded(held[PREFIX])
-            own = mixed(c["doc"].view(np.uint64) * ODD + (c["tag"].astype(np.uint64) << np.uint64(32) | c["line"]))
-            for early, late in candidate_pairs(c, threshold):
-                pair = mixed(own[early] * ODD + own[late])
-                _, one = np.unique(pair, return_index=True)
-                for side, rows in ((0, early[one]), (1, late[one])):
-                    yield from dealt(HALF, doc_bucket(c["doc"][rows], buckets), {k: c[k][rows] for k in ("doc", "tag", "line")} | {"pair": pair[one], "side": np.full(len(rows), side, np.uint8)})
+            found = list(candidate_pairs(c, threshold))
+            if found:
+                early, late, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, one = np.unique(mixed(identity({k: c[k][early] for k in ("doc", "tag", "line")}) * ODD + identity({k: c[k][late] for k in ("doc", "tag", "line")})), return_index=True)
+                early, late, apart = early[one], late[one], apart[one]
+                sides = {k: c[k][late] for k in ("doc", "tag", "line")} | {f"e_{k}": c[k][early] for k in ("doc", "tag", "line")}
+                yield from dealt(PAIR, doc_bucket(c["doc"][late], buckets), sides | {"apart": apart})
 
     return per_bucket(blobs, of)
 
 
+def identity(c: Columns, prefix: str = "") -> np.ndarray:
+    """A 64-bit hash of (document, checksum, line)."""
+    return mixed(c[f"{prefix}doc"].view(np.uint64) * ODD + (c[f"{prefix}tag"].astype(np.uint64) << np.uint64(32) | c[f"{prefix}line"]))
+
+
+def unique_pairs(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Each pair once, as a PAIR blob by the later line's document; a HALF blob, by its own document, for
+    each line that a bucket of pairs needs, once a bucket (to)."""
+
+    def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        c = loaded(held[PAIR])
+        late, early = identity(c), identity(c, "e_")
+        _, one = np.unique(mixed(early * ODD + late), return_index=True)
+        c, late, early = {k: v[one] for k, v in c.items()}, late[one], early[one]
+        to = doc_bucket(c["doc"][:1], buckets)[0]
+        names = ("doc", "tag", "line")
+        yield one_blob(PAIR, int(to), {k: c[k] for k in (*names, "apart")} | {"early": early, "late": late})
+        own, first = np.unique(np.concatenate([early, late]), return_index=True)
+        need = {k: np.concatenate([c[f"e_{k}"], c[k]])[first] for k in names}
+        yield from dealt(HALF, doc_bucket(need["doc"], buckets), need | {"id": own, "to": np.full(len(own), to, np.int32)})
+
+    return per_bucket(pairs, of)
+
+
 class Own:
     """A bucket's columns by document; made anew when the bucket changes."""
 
@@ -223,8 +250,8 @@ class Own:
         return rows[self.c["tag"][rows] == zlib.crc32(text.encode()) & 0xFFFF]
 
 
-def verified(texts: DataFrame, halves: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """GONE blobs by document: the later lines of pairs that hold up."""
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """GONE blobs by document: the later lines of pairs that hold up; pairs as from unique_pairs()."""
     own = Own()
 
     def fetch(c: Columns, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -240,39 +267,43 @@ def verified(texts: DataFrame, halves: DataFrame, threshold: float, buckets: int
                 found.append(mine)
         if found:
             mine = np.concatenate(found)
-            _, one = np.unique(np.column_stack([c["pair"][mine], c["side"][mine].astype(np.uint64)]), axis=0, return_index=True)
-            lines, mine = [lines[i] for i in one.tolist()], mine[one]
             h, counts = word_hashes(lines)
-            order = np.argsort(c["pair"][mine] % np.uint64(buckets), kind="stable")
             starts = np.cumsum(counts) - counts
-            bucket = (c["pair"][mine] % np.uint64(buckets)).astype(np.int32)
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
+            order = np.argsort(c["to"][mine], kind="stable")
+            to = c["to"][mine][order]
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = order[i:j]
-                words = np.concatenate([h[starts[r] : starts[r] + counts[r]] for r in part.tolist()])
-                yield one_blob(HALF, int(bucket[part[0]]), {k: c[k][mine[part]] for k in ("doc", "tag", "line", "pair", "side")} | {"count": counts[part], "words": words})
+                words, codes = np.unique(np.concatenate([h[starts[r] : starts[r] + counts[r]] for r in part.tolist()]), return_inverse=True)
+                small = np.uint16 if len(words) < 1 << 16 else np.uint32
+                yield one_blob(HALF, int(to[i]), {"id": c["id"][mine[part]], "count": counts[part].astype(np.uint32), "words": words, "codes": codes.astype(small)})
 
     def judge(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        c = loaded(held[HALF])
-        starts = np.cumsum(c["count"]) - c["count"]
-        order = np.lexsort((c["side"], c["pair"]))
-        gone, at = [], 0
-        pair, side = c["pair"][order].tolist(), c["side"][order].tolist()
-        while at < len(order):
-            stop = at
-            while stop < len(order) and pair[stop] == pair[at]:
-                stop += 1
-            left, right = [r for r, s in zip(order[at:stop].tolist(), side[at:stop], strict=True) if not s], [r for r, s in zip(order[at:stop].tolist(), side[at:stop], strict=True) if s]
-            if left and right:
-                x, y = (set(c["words"][starts[r] : starts[r] + c["count"][r]].tolist()) for r in (left[0], right[0]))
+        if PAIR not in held:
+            return
+        sets: dict[int, set] = {}
+        for blob in held.get(HALF, ()):
+            x = loaded([blob])
+            words, at = x["words"][x["codes"]].tolist(), 0
+            for i, n in zip(x["id"].tolist(), x["count"].tolist(), strict=True):
+                if i not in sets:
+                    sets[i] = set(words[at : at + n])
+                at += n
+        c = loaded(held[PAIR])
+        order = np.lexsort((c["apart"], c["late"]))  # the likeliest of a line's candidates first
+        gone, last = [], None
+        for r, early, late in zip(order.tolist(), c["early"][order].tolist(), c["late"][order].tolist(), strict=True):
+            if late != last and early in sets and late in sets:
+                x, y = sets[early], sets[late]
                 common = len(x & y)
                 if common + 1e-9 >= threshold * (len(x) + len(y) - common):
-                    gone.append(right[0])
-            at = stop
+                    gone.append(r)
+                    last = late
         rows = np.array(gone, np.int64)
         yield from dealt(GONE, doc_bucket(c["doc"][rows], buckets), {k: c[k][rows] for k in ("doc", "tag", "line")})
 
-    return per_bucket(with_texts(texts, halves, fetch, BLOB, buckets), judge)
+    fetched = with_texts(texts, pairs.where(f"kind = {HALF}"), fetch, BLOB, buckets)
+    return per_bucket(fetched.unionByName(pairs.where(f"kind = {PAIR}").select("kind", "bucket", "data")), judge)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -287,7 +318,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     counts = word_counts(texts)
     rarity = np.minimum(255, np.floor(8 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
     first = durable(met(dealt_lines(texts, rarity, threshold, buckets), threshold, buckets))
-    late = durable(verified(texts, first.where(f"kind = {HALF}"), threshold, buckets))
+    release(docs.sparkSession)
+    pairs = durable(unique_pairs(first.where(f"kind = {PAIR}"), buckets))
+    release(docs.sparkSession)
+    late = durable(verified(texts, pairs, threshold, buckets))
+    release(docs.sparkSession)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
     schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out, own = to_arrow_schema(schema), Own()
