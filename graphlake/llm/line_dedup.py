@@ -12,9 +12,9 @@ word stay and match nothing.
    a word of both prefixes.
 3. Rows meet by word. Pairs whose sizes, whose places in the order, or whose 64-bit parity marks
    (every differing word flips one bit) rule out the threshold are dropped; the rest are candidates.
-4. Pairs are brought together by the later line's document, each once; a bucket of pairs fetches
-   each line that it needs once, and computes Jaccard similarities from all words, the likeliest
-   candidate of a line first, until one holds up.
+4. Each pair is judged once, in a bucket of one of its shared rare words; a bucket fetches each line
+   that it needs once and computes Jaccard similarities from all words, the likeliest candidate of
+   a line first, until one holds up.
 5. Each document meets its lines that go.
 
 Rows move as blobs (see blobs.py). Rows with the same id are told apart by their texts' checksum;
@@ -201,7 +201,8 @@ def met(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
                 _, one = np.unique(mixed(identity({k: c[k][early] for k in ("doc", "tag", "line")}) * ODD + identity({k: c[k][late] for k in ("doc", "tag", "line")})), return_index=True)
                 early, late, apart = early[one], late[one], apart[one]
                 sides = {k: c[k][late] for k in ("doc", "tag", "line")} | {f"e_{k}": c[k][early] for k in ("doc", "tag", "line")}
-                yield from dealt(PAIR, doc_bucket(c["doc"][late], buckets), sides | {"apart": apart})
+                here = int(mixed(c["high"][:1].astype(np.uint64) << np.uint64(32) | c["low"][:1])[0] % np.uint64(buckets))
+                yield from dealt(PAIR, doc_bucket(c["doc"][late], buckets), sides | {"apart": apart, "to": np.full(len(late), here, np.int32)})
 
     return per_bucket(blobs, of)
 
@@ -212,20 +213,25 @@ def identity(c: Columns, prefix: str = "") -> np.ndarray:
 
 
 def unique_pairs(pairs: DataFrame, buckets: int) -> DataFrame:
-    """Each pair once, as a PAIR blob by the later line's document; a HALF blob, by its own document, for
-    each line that a bucket of pairs needs, once a bucket (to)."""
+    """Each pair once, as a PAIR blob of the least bucket (to) that found it; with a HALF blob, by its own
+    document, for each line that a bucket needs.
+
+    Lines that are alike share their rare words, so a group of them meets in the few buckets of these words.
+    """
 
     def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         c = loaded(held[PAIR])
         late, early = identity(c), identity(c, "e_")
-        _, one = np.unique(mixed(early * ODD + late), return_index=True)
-        c, late, early = {k: v[one] for k, v in c.items()}, late[one], early[one]
-        to = doc_bucket(c["doc"][:1], buckets)[0]
+        pair = mixed(early * ODD + late)
+        order = np.lexsort((c["to"], pair))
+        order = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(order)]]
+        c, late, early = {k: v[order] for k, v in c.items()}, late[order], early[order]
         names = ("doc", "tag", "line")
-        yield one_blob(PAIR, int(to), {k: c[k] for k in (*names, "apart")} | {"early": early, "late": late})
-        own, first = np.unique(np.concatenate([early, late]), return_index=True)
+        yield from dealt(PAIR, c["to"], {k: c[k] for k in (*names, "apart")} | {"early": early, "late": late})
+        own, to = np.concatenate([early, late]), np.tile(c["to"], 2)
+        _, first = np.unique(mixed(own + to.astype(np.uint64) * ODD), return_index=True)
         need = {k: np.concatenate([c[f"e_{k}"], c[k]])[first] for k in names}
-        yield from dealt(HALF, doc_bucket(need["doc"], buckets), need | {"id": own, "to": np.full(len(own), to, np.int32)})
+        yield from dealt(HALF, doc_bucket(need["doc"], buckets), need | {"id": own[first], "to": to[first]})
 
     return per_bucket(pairs, of)
 
@@ -267,6 +273,8 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float, buckets: int)
                 found.append(mine)
         if found:
             mine = np.concatenate(found)
+            _, one = np.unique(mixed(c["id"][mine] + c["to"][mine].astype(np.uint64) * ODD), return_index=True)
+            lines, mine = [lines[i] for i in one.tolist()], mine[one]
             h, counts = word_hashes(lines)
             starts = np.cumsum(counts) - counts
             order = np.argsort(c["to"][mine], kind="stable")
