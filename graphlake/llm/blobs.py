@@ -53,9 +53,9 @@ def one_blob(kind: int, bucket: int, columns: Columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([dumped(columns)], pa.binary())], schema=BLOB_ARROW)
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Four buckets a shuffle partition."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
+    """Some buckets a shuffle partition: many bound a reader's memory, few keep blobs large."""
+    return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def per_bucket(blobs: DataFrame, of: Callable[[dict[int, list[bytes]]], Iterator[pa.RecordBatch]], schema: str = BLOB) -> DataFrame:

@@ -320,7 +320,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A text all of whose lines go is empty. rest is a struct of the other columns, whatever their
     names, as they came (null if there are none).
     """
-    texts, buckets = string_texts(docs), bucket_count(docs)
+    texts, buckets = string_texts(docs), bucket_count(docs, 1)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("string")
     counts = word_counts(texts)
