@@ -303,6 +303,29 @@ def ntriples_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o").alias("objects"))
 
 
+def literal_sql(e: str) -> str:
+    return f"'\"' || replace(replace(replace(replace(CAST({e} AS VARCHAR), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') || '\"'"
+
+
+#: All triples of the graph: relationships, types, properties.
+TRIPLE_SQL = " UNION ALL ".join(
+    [f"SELECT {node_iri(f'{a[0]} * 1000000000000 + {a[1]}')} AS s, '<{B}rel/{label}>' AS p, {node_iri(f'{b[0]} * 1000000000000 + {b[1]}')} AS o FROM {source}" for label, source, a, b, _, _ in EDGES.values()]
+    + [f"SELECT {node_iri(f'{kind} * 1000000000000 + {key}')}, '{ntriples.RDF_TYPE}', '<{B}type/{name}>' FROM {source}" for name, (kind, source, key, _) in NODES.items()]
+    + [f"SELECT {node_iri(f'{kind} * 1000000000000 + {key}')}, '<{B}prop/{p}>', {literal_sql(c)} FROM {source} WHERE {c} IS NOT NULL" for kind, source, key, properties in NODES.values() for p, c in properties.items()]
+)
+
+
+@query(f"SELECT s || ' ' || p || ' ' || o || ' .' AS value FROM ({TRIPLE_SQL})")
+def ntriples_export_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole graph; ntriples_export and ntriples_parse take one predicate each."""
+    return ntriples.lines(ntriples.triples(graph(spark, sf)))
+
+
+@query(TRIPLE_SQL)
+def ntriples_parse_all(spark: SparkSession, sf: str) -> DataFrame:
+    return ntriples.parse_lines(ntriples.lines(ntriples.triples(graph(spark, sf))))
+
+
 @query("SELECT " + node_iri(f"{C} + c_custkey") + " AS c, '\"' || n_name || '\"' AS name FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def sparql_bgp(spark: SparkSession, sf: str) -> DataFrame:
     return Engine(graph(spark, sf)).sparql(f"PREFIX e: <{B}> SELECT ?c ?name WHERE {{ ?c e:rel/2 ?n . ?n e:prop/name ?name }}")
