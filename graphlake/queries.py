@@ -607,6 +607,25 @@ def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.label_propagation(*nations(spark, sf), iterations=3)
 
 
+@query(None)
+def components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole graph, as in pagerank_all and label_propagation_all; the three above take customers, nations and regions."""
+    gr = graph(spark, sf)
+    return algorithms.connected_components(gr.nodes(), gr.edges)
+
+
+@query(None)
+def pagerank_all(spark: SparkSession, sf: str) -> DataFrame:
+    gr = graph(spark, sf)
+    return algorithms.pagerank(gr.nodes(), gr.edges)
+
+
+@query(None)
+def label_propagation_all(spark: SparkSession, sf: str) -> DataFrame:
+    gr = graph(spark, sf)
+    return algorithms.label_propagation(gr.nodes(), gr.edges)
+
+
 # Streaming
 
 
