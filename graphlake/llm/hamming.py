@@ -6,14 +6,15 @@ different starts give a code of `bits` bits. index() stores every vector's code
 block each of the code's substrings is indexed by its value. A query probes, for a radius r over m
 substrings, the values within floor(r / m) of its own substring: by the pigeonhole principle every
 code within r of the query's is among those found. The codes found within r are ranked by their
-vectors' distance in double precision, ties to the smaller id.
+vectors' distance in double precision, ties to the smaller id. Rows that share an id count once, by
+the nearest of them, before anything is counted towards k or cut.
 
 The radius is the one that held `recall` of the sample's true neighbours; in a sample neighbours are
-farther than among all rows, so it errs to the wide side. A query that finds fewer than k codes in a
+farther than among all rows, so it errs to the wide side. A query that finds fewer than k ids in a
 block has its radius doubled there until it has k or the whole block.
 
 Queries go in blocks of at most `block` vectors, each broadcast (its size is bounded), so nothing is
-joined row by row; each index block answers with k rows a query at most. Vectors that are null, zero,
+joined row by row; each index block answers with k ids a query at most. Vectors that are null, zero,
 of another length or hold null or non-finite components take no part; an empty index gives no rows.
 """
 
@@ -66,8 +67,10 @@ def rotation(x: np.ndarray, seed: int, steps: int = 30) -> np.ndarray:
 
 
 def fit(rows: DataFrame, k: int = 10, bits: int = 256, recall: float = 0.97, sample: int = SAMPLE) -> Coder | None:
-    """From at most `sample` usable vectors, those with the least hash of the id."""
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    """From at most `sample` usable vectors, one an id, of the ids with the least hash."""
+    least = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    one = rows.join(F.broadcast(least), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    taken = one.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").collect()
     size = max((len(r.v) for r in taken), key=[len(r.v) for r in taken].count, default=0)
     x = np.array([r.v for r in taken if len(r.v) == size], np.float64)
     if not len(x):
@@ -90,6 +93,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder):
         self.ids, self.vectors, self.codes = ids, vectors, coder.codes(vectors)
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.tables = []
         for j in range(self.codes.shape[1]):
             order = np.argsort(self.codes[:, j], kind="stable")
@@ -104,15 +108,21 @@ class Block:
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
+    def distinct(self, rows: np.ndarray) -> int:
+        return len(np.unique(self.ids[rows])) if self.repeats else len(rows)
+
     def search(self, q_id: int, q: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         while True:
             rows = self.within(code, radius)
             rows = rows[self.ids[rows] != q_id]
-            if len(rows) >= k or radius >= 16 * len(self.tables):
+            if self.distinct(rows) >= k or radius >= 16 * len(self.tables):
                 break
             radius = min(2 * radius + 1, 16 * len(self.tables))
         d = np.sqrt(((self.vectors[rows] - q) ** 2).sum(1))
-        best = np.lexsort((self.ids[rows], d))[:k]
+        best = np.lexsort((self.ids[rows], d))
+        if self.repeats:
+            best = best[np.sort(np.unique(self.ids[rows][best], return_index=True)[1])]
+        best = best[:k]
         return self.ids[rows][best], d[best]
 
 
@@ -146,6 +156,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 256,
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in hits])), pa.array(np.concatenate([h[0] for h in hits])), pa.array(np.concatenate([h[1] for h in hits]))], schema=out)
 
         found.append(spread.mapInArrow(run, schema))
-    every = reduce(DataFrame.unionByName, found).dropDuplicates(["query_id", "vec_id"])
+    every = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
