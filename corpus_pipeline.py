@@ -33,11 +33,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id."""
+    """One document of each group of near duplicates: that with the least id; of several texts under that id, one."""
     importable(spark)
-    classes = jaccard.near_duplicates(docs)
-    kept = classes.where("class_id is null or class_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    classes = jaccard.classified(docs)
+    kept = classes.where("class_id is null or class_id = doc_id and class_text = text_hash").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_text")).distinct()
+    same = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_text"]
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & same, "left_semi")
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ verified cluster). So tasks are bounded whatever the component's size, and a com
 all counted, those that no tree has found included.
 
 A document without words matches nothing; one of fewer than five words has one shingle of all its
-words. A null id gets no class id of its own. Extra columns are ignored. An id names one text: rows
-that share both count as copies, but of several texts under one id only one is verified.
+words. A null id gets no class id of its own. Extra columns are ignored. Classes go by numbers of
+their own, in the order of their least doc_id, and a text is found by its id and hash: so several
+texts under one id are each verified, and rows that share both count as copies.
 """
 
 from __future__ import annotations
@@ -41,9 +42,14 @@ def prefix_depth(threshold: float, trees: int, recall: float, deepest: int = 12)
     return depth
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash)."""
+    return text_rows(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
 def signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, h1, h2, n, keys): a hash of the shingle set, its size, and a trie node for each tree."""
-    schema = "doc_id long, h1 long, h2 long, n long, keys array<long>"
+    """(doc_id, text_hash, h1, h2, n, keys): a hash of the shingle set, its size, and a trie node for each tree."""
+    schema = "doc_id long, text_hash long, h1 long, h2 long, n long, keys array<long>"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +70,9 @@ def signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
                     keys[i] = node
                 wrap = [np.array([f(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for f in (lambda s: mixed(s + ODD).sum(), lambda s: np.bitwise_xor.reduce(mixed(s ^ ODD)))]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * trees + 1, trees, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(wrap[0]), pa.array(wrap[1]), pa.array([len(s) for s in sets], pa.int64()), listed.cast(out.field("keys").type)], schema=out)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(wrap[0]), pa.array(wrap[1]), pa.array([len(s) for s in sets], pa.int64()), listed.cast(out.field("keys").type)], schema=out)
 
-    return text_rows(docs).mapInArrow(run, schema)
+    return hashed(docs).mapInArrow(run, schema)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -125,8 +131,8 @@ def linked(ids: list[int], sets: list[np.ndarray], weights: list[int], sides: li
 
 
 def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
-    """(doc_id, links, root) of members (doc_id, weight, component, part, parts), a row a block pair."""
-    schema = "component long, p int, q int, doc_id long, weight long, part int, shingles binary"
+    """(id, links, root) of members (id, doc_id, text_hash, weight, component, part, parts), a row a block pair."""
+    schema = "component long, p int, q int, id long, weight long, part int, shingles binary"
     out = arrow_schema(schema)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +144,10 @@ def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, b
                     made = []
                     for i in range(lo, min(lo + 256, len(found))):
                         b, raw = cols["part"][i], found[i].tobytes()
-                        made += [(cols["component"][i], min(b, j), max(b, j), cols["doc_id"][i], cols["weight"][i], b, raw) for j in range(cols["parts"][i])]
+                        made += [(cols["component"][i], min(b, j), max(b, j), cols["id"][i], cols["weight"][i], b, raw) for j in range(cols["parts"][i])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
-    result = "doc_id long, links long, root long"
+    result = "id long, links long, root long"
     given = arrow_schema(result)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +161,12 @@ def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, b
 
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(7)]
-            for comp, p, q, doc, weight, part, raw in zip(*c, strict=True):
+            for comp, p, q, one, weight, part, raw in zip(*c, strict=True):
                 if key != (comp, p, q):
                     close()
                     key = (comp, p, q)
-                if not held or held[-1][0] != doc:  # a repeated row counts once
-                    held.append((doc, weight, part, np.frombuffer(raw, np.uint64)))
+                if not held or held[-1][0] != one:  # a repeated row counts once
+                    held.append((one, weight, part, np.frombuffer(raw, np.uint64)))
             if len(found) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=given)
                 found.clear()
@@ -168,28 +174,37 @@ def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, b
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=given)
 
-    pairs = text_rows(docs).join(members, "doc_id").select("component", "part", "parts", "doc_id", "weight", "text").mapInArrow(sets_of, schema)
-    return pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "doc_id").mapInArrow(count, result)
+    pairs = hashed(docs).join(members, ["doc_id", "text_hash"]).select("component", "part", "parts", "id", "weight", "text").mapInArrow(sets_of, schema)
+    return pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "id").mapInArrow(count, result)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of each document.
 
-    class_id: the least doc_id of the documents joined to it by links; n_links: the other documents
+    class_id: the least doc_id of the documents joined to it by links; n_links: the other documents (rows)
     whose shingle sets have a Jaccard similarity of at least the threshold with its own.
     """
+    return classified(docs, threshold, size, trees, recall, block).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_hash, class_id, class_text, n_links): near_duplicates, with the hash of the text and of the text that class_id stands for."""
     rows = durable(signed(docs, size, trees, prefix_depth(threshold, trees, recall)))
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
-    classes = durable(classes.where("rep is not null"))
-    nodes = classes.select("rep", F.posexplode("keys").alias("tree", "node"))
-    least = nodes.groupBy("tree", "node").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = connected_components(nodes.join(least, ["tree", "node"]).select("a", F.col("rep").alias("b")).distinct())
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
+    classes = classes.where("first is not null").select(F.col("first.doc_id").alias("rep"), "first.text_hash", "h1", "h2", "weight", "keys")
+    classes = durable(classes.orderBy("rep", "h1", "h2").withColumn("id", F.monotonically_increasing_id()))
+    nodes = classes.select("id", F.posexplode("keys").alias("tree", "node"))
+    least = nodes.groupBy("tree", "node").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = connected_components(nodes.join(least, ["tree", "node"]).select("a", F.col("id").alias("b")).distinct())
     sizes = met.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    members = met.join(sizes, "label").join(classes.select(F.col("rep").alias("id"), "weight"), "id")
-    members = members.select(F.col("id").alias("doc_id"), "weight", F.col("label").alias("component"), F.expr("int(pmod(xxhash64(id), parts))").alias("part"), "parts")
+    members = met.join(sizes, "label").join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight"), "id")
+    members = members.select("id", "doc_id", "text_hash", "weight", F.col("label").alias("component"), F.expr("int(pmod(xxhash64(id), parts))").alias("part"), "parts")
     links = durable(verified(members, docs, size, threshold, block))
-    clusters = connected_components(links.select(F.col("root").alias("a"), F.col("doc_id").alias("b")))
-    per_class = links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
-    told = classes.join(per_class.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    with_words = rows.where("n > 0").select("doc_id", "h1", "h2").join(told, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return with_words.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    clusters = connected_components(links.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    least_ids = classes.select(F.col("id").alias("label"), F.col("rep").alias("class_id"), F.col("text_hash").alias("class_text"))
+    per_class = links.groupBy("id").agg(F.sum("links").alias("links")).join(clusters, "id").join(least_ids, "label").drop("label")
+    told = classes.join(per_class, "id", "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_text", "text_hash").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    with_words = rows.where("n > 0").select("doc_id", "text_hash", "h1", "h2").join(told, ["h1", "h2"], "left")
+    with_words = with_words.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_text", "text_hash").alias("class_text"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return with_words.unionByName(rows.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_text"), F.lit(0).cast("long").alias("n_links")))

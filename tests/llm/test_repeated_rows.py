@@ -1,9 +1,11 @@
 """Repeated rows and several contents under one id, against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 
-from graphlake.llm import hamming
+from graphlake.llm import hamming, jaccard
 
 
 def nearest(rows, queries, k):
@@ -45,3 +47,31 @@ def test_the_radius_does_not_come_from_copies(spark):
     found = {(r.query_id, r.vec_id) for r in got}
     assert len(found) == len(got) == 100
     assert len(found & {(q, i) for q, top in want.items() for _, i in top}) >= 90
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_each_text_under_one_id_is_verified(docs_of, block):
+    draw = random.Random(7)
+    made = lambda: [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    bases = [made() for _ in range(6)]
+    rows = [(1, " ".join(b)) for b in bases] + [(1, " ".join(bases[2])), (1, " ".join(bases[2]) + " "), (None, " ".join(bases[3]))]
+    rows += [(10 + i, " ".join(b + ["end"])) for i, b in enumerate(bases)] + [(0, " ".join(bases[5] + ["x"])), (30, " ".join(made()))]
+    draw.shuffle(rows)
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in rows]
+    near = [[j for j in range(len(rows)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    label = [float("inf") if d is None else d for d, _ in rows]
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(rows))]
+    order = lambda r: (r[0] is not None, r)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs_of(rows), block=block).collect()), key=order)
+    assert got == sorted(((d, label[i], len(near[i])) for i, (d, _) in enumerate(rows)), key=order)
+
+
+def test_the_pipeline_tells_texts_under_one_id_apart(spark, docs_of):
+    import corpus_pipeline
+
+    draw = random.Random(8)
+    a, b = ([f"w{draw.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(0, " ".join(a)), (1, " ".join(a + ["end"])), (1, " ".join(b)), (1, " ".join(b + ["end"])), (2, " ".join(b)), (3, None)]
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect())
+    assert [d for d, _ in left] == [0, 1, 3] and left[0][1] == rows[0][1] and left[1][1] in (rows[2][1], rows[3][1])
