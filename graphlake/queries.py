@@ -275,6 +275,11 @@ def term_positions(spark: SparkSession, sf: str) -> DataFrame:
     return search.postings(table(spark, sf, "benchmark"), "item_id").select("rid", "term", "pos")
 
 
+@query("SELECT doc_id AS rid, t AS term, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS a FROM documents))")
+def term_positions_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return search.postings(table(spark, sf, "documents"), "doc_id").select("rid", "term", "pos")
+
+
 # Triples and SPARQL
 
 NODE = "'<https://example.org/node/' || CAST({} AS VARCHAR) || '>'"

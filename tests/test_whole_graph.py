@@ -1,4 +1,4 @@
-"""Catalogued queries over the whole graph, against plain code on the smallest tables."""
+"""Catalogued queries over the whole graph and all documents, against plain code on the smallest tables."""
 
 from collections import Counter
 
@@ -72,3 +72,9 @@ def test_label_propagation_of_the_whole_graph(spark, plain):
             votes[b][label[a]] += 1
         label = {r: min(v, key=lambda c: (-v[c], c)) if (v := votes[r]) else label[r] for r in rids}
     assert dict(rows(catalogue.queries()["label_propagation_all"](spark, SF))) == label
+
+
+def test_positions_in_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = [(r.doc_id, t, i) for r in docs for i, t in enumerate((r.text or "").lower().split())]
+    assert rows(catalogue.queries()["term_positions_documents"](spark, SF)) == sorted(want)
