@@ -7,8 +7,8 @@ lower-casing vocabulary drops white space. So the ids of a text are the ids of i
 space, then other characters), joined, and a task needs to encode a chunk once.
 
 New chunks are encoded many at a time by a rank table made from the file's own merges; a table
-whose ids differ from the tokenizers library on a probe of every vocabulary entry isn't used, the
-library itself is then. Texts with characters that the table reserves go to the library whole.
+whose ids differ from the tokenizers library on a probe of every vocabulary entry that is a text (whole
+UTF-8, nothing reserved) isn't used, the library itself is then; each worker process probes once. Texts with characters that the table reserves go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
@@ -102,6 +102,20 @@ class RankTable:
         return [ids[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
 
 
+def probes(vocab: Iterable[str], word_end: str) -> list[str]:
+    """The text of every entry that has one; with word ends white space has no ids and is left out."""
+    letters, out = byte_letters(), []
+    for token in vocab:
+        body = token.removesuffix(word_end) if word_end else token
+        try:
+            text = bytes(letters[c] for c in body).decode()
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if not RESERVED.search(text) and not (word_end and any(map(str.isspace, text))):
+            out.append(text)
+    return out
+
+
 @cache
 def chunk_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], Callable[[list[str]], list[bytes]], bool]:
     """(encoder of chunks, encoder of whole texts, whether white space has no ids)."""
@@ -111,9 +125,7 @@ def chunk_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], Callab
     no_space = bool((spec["model"].get("end_of_word_suffix")))
     try:
         table = RankTable(path)
-        ascii_letters = {ord(c): chr(b) for c, b in byte_letters().items() if b < 128}
-        probe = [p for t in spec["model"]["vocab"] if (p := t.removesuffix("</w>").translate(ascii_letters).strip()) and not RESERVED.search(p) and not any(map(str.isspace, p))]
-        probe = probe[::7] + ["don't", "it's", "Straße", "Ère,", "x́y", "123abc...", "你好"]
+        probe = [*probes(spec["model"]["vocab"], table.word_end), "don't", "it's", "Straße", "Ère,", "x́y", "123abc...", "你好"]
         if table.encode(probe) == whole(probe):
             return table.encode, whole, no_space
     except (KeyError, ValueError):
