@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by MinHash banding, verified exactly.
 
 Documents with equal shingle sets are one class from the start. Each class has `trees` signatures of
-minimum hashes; in a tree, classes whose signatures share a prefix meet under one node of the sorted
-prefix trie. Prefixes are shortened from the deepest on until a pair at the threshold meets in some
-tree with at least the target recall: 1 - (1 - s^depth)^trees.
+minimum hashes, one a band, and classes with an equal signature meet in that tree. The depth of the
+signatures is fixed beforehand: the longest at which a pair at the threshold meets in some tree with
+at least the target recall, 1 - (1 - s^depth)^trees. This replaces an LSH forest: at one fixed
+threshold a forest whose prefixes are shortened to that depth brings the same classes together.
 
 What meets is not expanded into pairs. Nodes link classes to the least class under them, connected
 components of these links bring together all classes that could match, and each component is
