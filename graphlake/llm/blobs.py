@@ -2,7 +2,9 @@
 
 A row per number would cost far more than the number; here a task deals its numbers out to buckets
 and ships each bucket's columns as one binary. Buckets are keyed by a hash, several a partition, so
-a reader holds one bucket at a time.
+a reader holds one bucket at a time. A bucket goes to the partition of its own number (modulo their
+count), so no partition gets several by chance. Columns are written byte by byte of their numbers
+(all lowest bytes, then the next, ...), so that the high bytes of small numbers compress away.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Columns = dict[str, np.ndarray]
@@ -21,7 +23,11 @@ BLOB_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", p
 
 def dumped(columns: Columns) -> bytes:
     head = ";".join(f"{n}:{a.dtype.str}:{len(a)}" for n, a in columns.items()).encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in columns.values())
+    return len(head).to_bytes(4, "little") + head + b"".join(planes(a) for a in columns.values())
+
+
+def planes(a: np.ndarray) -> bytes:
+    return a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def loaded(blobs: list[bytes]) -> Columns:
@@ -33,6 +39,8 @@ def loaded(blobs: list[bytes]) -> Columns:
         for name, kind, size in (x.split(":") for x in data[4:at].decode().split(";")):
             a = np.frombuffer(data, kind, int(size), at)
             at += a.nbytes
+            if a.itemsize > 1:
+                a = np.ascontiguousarray(a.view(np.uint8).reshape(a.itemsize, len(a)).T).view(a.dtype).ravel()
             parts.setdefault(name, []).append(a)
     return {k: np.concatenate(v) for k, v in parts.items()}
 
@@ -58,6 +66,12 @@ def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
     return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_bucket(df: DataFrame, *then: Column) -> DataFrame:
+    """df with each bucket's rows in one partition, in order of bucket and `then`."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", *then)
+
+
 def per_bucket(blobs: DataFrame, of: Callable[[dict[int, list[bytes]]], Iterator[pa.RecordBatch]], schema: str = BLOB) -> DataFrame:
     """Brings each bucket's blobs together and gives them, by kind, to `of`, one bucket at a time."""
 
@@ -73,7 +87,7 @@ def per_bucket(blobs: DataFrame, of: Callable[[dict[int, list[bytes]]], Iterator
         if held:
             yield from of(held)
 
-    return blobs.select("kind", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return by_bucket(blobs.select("kind", "bucket", "data")).mapInArrow(run, schema)
 
 
 def with_texts(texts: DataFrame, blobs: DataFrame, of: Callable[[Columns, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, buckets: int, finish: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
@@ -107,7 +121,7 @@ def with_texts(texts: DataFrame, blobs: DataFrame, of: Callable[[Columns, pa.Rec
         if finish is not None:
             yield from finish()
 
-    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("data").isNull()).mapInArrow(run, schema)
+    return by_bucket(both, F.col("data").isNull()).mapInArrow(run, schema)
 
 
 def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:

@@ -9,21 +9,25 @@ word stay and match nothing.
 2. Each line's distinct words are ordered rarest first. Lines of equal sets are one class: within a
    task all but the first go at once, and classes meet by two hashes of the set. The first of each
    class sends a row for every word of its prefix, n - ceil(t n) + 1 words: two sets that match share
-   a word of both prefixes.
-3. Rows meet by word. Pairs whose sizes, whose places in the order, or whose 64-bit parity marks
-   (every differing word flips one bit) rule out the threshold are dropped; the rest are candidates.
-4. Each pair is judged once, in a bucket of one of its shared rare words; a bucket fetches each line
-   that it needs once and computes Jaccard similarities from all words, the likeliest candidate of
-   a line first, until one holds up.
-5. Each document meets its lines that go.
-
-Rows move as blobs (see blobs.py). Rows with the same id are told apart by their texts' checksum;
-rows alike in both are judged alike. Null texts are empty, a null id keeps its text whole.
+   a word of both prefixes. A word that occurs once at all has no partner and sends none.
+3. A word of more than `heavy` occurrences would gather too many lines. The first word that two sets
+   share lies in both prefixes, and if they must share two, the second lies in both prefixes or one
+   word behind; so such a word sends a row for each pair with a later one of these words instead.
+4. Rows meet by word (or pair). Pairs whose sizes, whose places in the order, or whose parity marks
+   (every differing word flips one of 64 bits, in long lines of 256) rule out the threshold are dropped.
+5. A later line's likeliest candidate (fewest differing bits, then earliest) is judged first, from all
+   words of both; a line that it doesn't remove is judged against all its other candidates in a second
+   round. Lines are judged where the later one's document lies, and only documents with such lines are
+   fetched: a broadcast of at most DOC_SLOTS hash slots tells them.
+6. Each document that has lines to go (by such slots) meets them; the others pass unshuffled.
+
+Words are known by 64-bit hashes, classes by two of them. Rows move as blobs (see blobs.py). Rows
+with the same id are told apart by their texts' checksum; rows alike in both are judged alike. Null
+texts are empty, a null id keeps its text whole.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,57 +39,87 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blobs import BLOB, Columns, bucket_count, dealt, doc_bucket, loaded, one_blob, per_bucket, with_texts
-from .common import durable, release, slices
-from .words import ODD, mixed, word_hashes
+from .common import durable, slices
+from .words import ODD, byte_words, joined, mixed, word_hashes
 
-SLOTS, PARTS, HELD = 1 << 20, 64, 1 << 20
-GONE, CLASS, PREFIX, HALF, PAIR = 0, 1, 2, 3, 4
+SLOTS, PARTS, HELD, HEAVY, LONG, DOC_SLOTS = 1 << 22, 64, 1 << 18, 1 << 13, 112, 1 << 20
+GONE, CLASS, PREFIX, WIDE, HALF, PAIR, REST = range(7)
+LINE = ("doc", "tag", "line")
+ONCE = 8  # the rarity of a slot that counts one word
 
 
 def string_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences by slot of all words of all texts; PARTS rows of fixed size reach the driver."""
+def collected(parts: DataFrame, column: str, missing: np.ndarray) -> np.ndarray:
+    """A table of PARTS parts, of fixed size, from one blob a part."""
+    found = {r.bucket: loaded([bytes(r.data)])[column] for r in parts.collect()}
+    return np.concatenate([found.get(p, missing) for p in range(PARTS)])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-        import pyarrow.compute as pc
 
+def rarities(texts: DataFrame) -> np.ndarray:
+    """floor(8 log2(1 + occurrences)) by slot of all words of all texts; one byte a slot reaches the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, 8 << 20):
-                seen = pc.value_counts(pc.ascii_split_whitespace(part.column("text").cast(pa.large_string())).flatten())
-                words = np.array(seen.field("values").to_pylist(), dtype=object)
-                slot = (pd.util.hash_array(words, categorize=False) & np.uint64(SLOTS - 1)).astype(np.int64)
-                total += np.bincount(slot, seen.field("counts").to_numpy(), SLOTS).astype(np.int64)
+                own = byte_words(joined(part.column("text").to_pylist())[0])[1]
+                np.add.at(total, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
         for p, part in enumerate(np.split(np.minimum(total, 2**32 - 1).astype(np.uint32), PARTS)):
             yield one_blob(0, p, {"counts": part})
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                own = loaded([data])["counts"].astype(np.int64)
-                sums[p] = sums[p] + own if p in sums else own
-        for p, own in sums.items():
-            yield one_blob(0, p, {"counts": own})
+    def summed(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS // PARTS, np.float64)
+        for data in held[0]:
+            total += loaded([data])["counts"]
+        yield one_blob(0, 0, {"rarity": np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)})
 
-    rows = texts.mapInArrow(counted, BLOB).repartition("bucket").mapInArrow(keyed, BLOB).collect()
-    parts = {r.bucket: loaded([bytes(r.data)])["counts"] for r in rows}
-    return np.concatenate([parts.get(p, np.zeros(SLOTS // PARTS, np.int64)) for p in range(PARTS)])
+    return collected(numbered(texts.mapInArrow(counted, BLOB), summed), "rarity", np.zeros(SLOTS // PARTS, np.uint8))
 
 
-def ordered_sets(h: np.ndarray, counts: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, line of each) of the distinct words of each line, rarest first: rarity, then 36 bits of the hash.
+def numbered(blobs: DataFrame, of) -> DataFrame:
+    """per_bucket, with the bucket's number in the one blob that `of` gives."""
+    named = blobs.select("kind", "bucket", F.concat(F.unhex(F.lpad(F.hex("bucket"), 4, "0")), "data").alias("data"))
 
-    Takes at most 2^20 lines; one sort of single numbers.
-    """
+    def run(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        bucket = int.from_bytes(held[0][0][:2], "big")
+        for batch in of({0: [x[2:] for x in held[0]]}):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bucket], pa.int32()), batch.column(2)], schema=batch.schema)
+
+    return per_bucket(named, run)
+
+
+def with_slot(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("slot", F.expr(f"int(pmod(xxhash64(doc_id), {DOC_SLOTS}))"))
+
+
+def slots_of(blobs: DataFrame) -> DataFrame:
+    """The slots (at most DOC_SLOTS, by hash) of the documents that the blobs name, to be broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(DOC_SLOTS, bool)
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                seen[doc_bucket(loaded([data])["doc"], DOC_SLOTS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["slot"])
+
+    return F.broadcast(durable(blobs.mapInArrow(run, "slot int").distinct()))
+
+
+def ordered_sets(own: np.ndarray, counts: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hash, rarity, line) of the distinct words of each of at most 2^20 lines, rarest first: rarity, then hash."""
+    rare = rarity[own & np.uint64(SLOTS - 1)]
     line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    keys = np.sort(line << np.uint64(44) | rarity[h & np.uint64(SLOTS - 1)] << np.uint64(36) | h >> np.uint64(28))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
-    return keys & np.uint64((1 << 44) - 1), (keys >> np.uint64(44)).astype(np.int64)
+    keys = line << np.uint64(44) | rare.astype(np.uint64) << np.uint64(36) | own >> np.uint64(28)
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    if (same & (own[order][1:] != own[order][:-1])).any():  # different words that the key doesn't tell apart
+        order = np.lexsort((own, rare, line))
+        same = (own[order][1:] == own[order][:-1]) & (line[order][1:] == line[order][:-1])
+    order = order[np.concatenate([[True], ~same])[: len(order)]]
+    return own[order], rare[order], line[order].astype(np.int64)
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -94,144 +128,203 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(n + 1e-9 >= threshold / (1 - threshold), p, 0) if threshold < 1 else np.zeros_like(n)
 
 
-def line_rows(c: Columns, keys: np.ndarray, line: np.ndarray) -> Columns:
-    """Adds to each line its set size, two hashes of the set and the parity mark."""
+def line_rows(c: Columns, words: np.ndarray, line: np.ndarray) -> Columns:
+    """Adds to each line its set size, two hashes of the set and its parity marks.
+
+    A word's place among 256 bits is 64 times `quarter` and a rest; mark has the quarters folded upon
+    each other, and w0 to w2 the first three alone (mark and they give the last).
+    """
     n = np.bincount(line, minlength=len(c["doc"]))
     starts = np.cumsum(n) - n
-    spread = mixed(keys * ODD)
-    return c | {"n": n, "start": starts, "a": np.add.reduceat(spread, starts), "b": np.bitwise_xor.reduceat(mixed(spread + ODD), starts), "mark": np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), starts)}
-
-
-def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets: int) -> DataFrame:
-    rare = texts.sparkSession.sparkContext.broadcast(rarity)  # SLOTS bytes
+    spread = mixed(words * ODD)
+    bit, quarter = np.uint64(1) << (spread & np.uint64(63)), spread >> np.uint64(6) & np.uint64(3)
+    fold = lambda x: np.bitwise_xor.reduceat(x, starts)
+    wide = {f"w{q}": fold(np.where(quarter == q, bit, np.uint64(0))) for q in range(3)}
+    return c | {"n": n, "start": starts, "a": np.add.reduceat(spread, starts), "b": fold(mixed(spread + ODD)), "mark": fold(bit)} | wide
+
+
+def prefix_rows(c: Columns, lines: np.ndarray, words: np.ndarray, rare: np.ndarray, threshold: float, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the rows that these lines send: a light word, or a heavy one with a word behind it."""
+    n = c["n"][lines]
+    size = prefix_length(n, threshold)
+    row = np.repeat(lines, size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    place, last = c["start"][row] + at, np.repeat(size, size)
+    much, again = rare[place] >= 8 * np.log2(heavy), rare[place] > ONCE
+    one = np.repeat(np.ceil(threshold * n - 1e-9) < 2, size)  # may match by a single word
+    plain = np.flatnonzero(again & (one | ~much))
+    pairs = np.flatnonzero(again & much)
+    behind = np.minimum(last, c["n"][row] - 1)[pairs] - at[pairs]  # the words behind it, as far as one beyond the prefix
+    first = np.repeat(pairs, behind)
+    step = 1 + np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
+    second = place[first] + step
+    fine = rare[second] > ONCE
+    first, second = first[fine], second[fine]
+    pair = mixed(words[place[first]] * ODD + mixed(words[second]))
+    rows = np.concatenate([plain, first])
+    return row[rows], at[rows], np.concatenate([words[place[plain]], pair])
+
+
+def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets: int, heavy: int) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(rarity)  # SLOTS bytes
+
+    def worked(held: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+        data, ends = joined([t for t, _, _ in held])
+        at, own = byte_words(data)
+        breaks = np.append(np.flatnonzero(data == 10), len(data))
+        lines = np.diff(np.searchsorted(breaks, ends, "right"), prepend=0)
+        doc, tag = (np.repeat(np.array([h[i] for h in held], kind), lines) for i, kind in ((1, np.int64), (2, np.uint16)))
+        number = (np.arange(len(breaks)) - np.repeat(np.cumsum(lines) - lines, lines)).astype(np.uint32)
+        counts = np.diff(np.searchsorted(at, breaks), prepend=0)
+        some = np.flatnonzero(counts)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        for lo in range(0, len(some), 1 << 20):
+            part = some[lo : lo + (1 << 20)]
+            yield from sent_rows({"doc": doc[part], "tag": tag[part], "line": number[part]}, own[before[part[0]] : before[part[-1] + 1]], counts[part])
+
+    def sent_rows(c: Columns, own: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, rare, line = ordered_sets(own, counts, sent.value)
+        c = line_rows(c, words, line)
+        order = np.lexsort((c["line"], c["tag"], c["doc"], c["b"], c["a"]))
+        a, b = c["a"][order], c["b"][order]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        gone, stays = order[~first], order[first]
+        pick = lambda rows, *names: {k: c[k][rows] for k in names}
+        yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), pick(gone, *LINE))
+        yield from dealt(CLASS, (c["a"][stays] % np.uint64(buckets)).astype(np.int32), pick(stays, "a", "b", *LINE))
+        row, at, key = prefix_rows(c, stays, words, rare, threshold, heavy)
+        key = mixed(key)
+        for kind, which in ((PREFIX, c["n"][row] < LONG), (WIDE, c["n"][row] >= LONG)):
+            own_row, own_key = row[which], key[which]
+            small = {"key": (own_key >> np.uint64(32)).astype(np.uint32), "a": c["a"][own_row].astype(np.uint32), "n": c["n"][own_row].astype(np.uint32), "at": at[which].astype(np.uint32)}
+            yield from dealt(kind, (own_key % np.uint64(buckets)).astype(np.int32), small | pick(own_row, "mark", *LINE, *(("w0", "w1", "w2") if kind == WIDE else ())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = rare.value.astype(np.uint64)
-
-        def worked(lines: list[str], doc: np.ndarray, tag: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
-            h, counts = word_hashes(lines)
-            some = np.flatnonzero(counts)
-            if not len(some):
-                return
-            keys, line = ordered_sets(h, counts[some], rarity)
-            c = line_rows({"doc": doc[some], "tag": tag[some], "line": number[some]}, keys, line)
-            order = np.lexsort((c["line"], c["tag"], c["doc"], c["b"], c["a"]))
-            a, b = c["a"][order], c["b"][order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            gone, stays = order[~first], order[first]
-            pick = lambda rows, *names: {k: c[k][rows] for k in names}
-            yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), pick(gone, "doc", "tag", "line"))
-            yield from dealt(CLASS, (c["a"][stays] % np.uint64(buckets)).astype(np.int32), pick(stays, "a", "b", "doc", "tag", "line"))
-            size = prefix_length(c["n"][stays], threshold)
-            rows = np.repeat(stays, size)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-            token = keys[c["start"][rows] + at]
-            yield from dealt(PREFIX, (mixed(token) % np.uint64(buckets)).astype(np.int32), {
-                "low": token.astype(np.uint32), "high": (token >> np.uint64(32)).astype(np.uint16), "a": c["a"][rows].astype(np.uint32), "mark": c["mark"][rows],
-                "doc": c["doc"][rows], "tag": c["tag"][rows], "line": c["line"][rows], "n": c["n"][rows].astype(np.uint32), "at": at.astype(np.uint32),
-            })
-
-        lines, docs, tags, numbers, size = [], [], [], [], 0
+        held, size = [], 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                own, tag = text.split("\n"), zlib.crc32(text.encode()) & 0xFFFF
-                for lo in range(0, len(own), HELD):
-                    part = own[lo : lo + HELD]
-                    lines += part
-                    docs.append(np.full(len(part), doc, np.int64))
-                    tags.append(np.full(len(part), tag, np.uint16))
-                    numbers.append(np.arange(lo, lo + len(part), dtype=np.uint32))
-                    size += len(text) if not lo else 0
-                    if len(lines) > HELD - 1 or size > 5 << 20:
-                        every = [np.concatenate(x) for x in (docs, tags, numbers)]
-                        for i in range(0, len(lines), HELD):
-                            yield from worked(lines[i : i + HELD], *(x[i : i + HELD] for x in every))
-                        lines, docs, tags, numbers, size = [], [], [], [], 0
-        if lines:
-            every = [np.concatenate(x) for x in (docs, tags, numbers)]
-            for i in range(0, len(lines), HELD):
-                yield from worked(lines[i : i + HELD], *(x[i : i + HELD] for x in every))
+                held.append((text, doc, zlib.crc32(text.encode()) & 0xFFFF))
+                size += len(text)
+                if size > 5 << 20:
+                    yield from worked(held)
+                    held, size = [], 0
+        if held:
+            yield from worked(held)
 
     return texts.mapInArrow(run, BLOB)
 
 
 def candidate_pairs(c: Columns, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(earlier, later, differing mark bits) of rows that share a word and pass the size, place and mark filters."""
-    token = c["high"].astype(np.uint64) << np.uint64(32) | c["low"]
-    order = np.lexsort((c["line"], c["tag"], c["doc"], c["a"], c["mark"], c["n"], token))
-    t = token[order]
-    same = (t[1:] == t[:-1]) & (c["n"][order][1:] == c["n"][order][:-1]) & (c["mark"][order][1:] == c["mark"][order][:-1]) & (c["a"][order][1:] == c["a"][order][:-1])
-    order = order[np.concatenate([[True], ~same])]  # the first of a class stands for it
-    t, n, at, mark = token[order], c["n"][order].astype(np.int64), c["at"][order].astype(np.int64), c["mark"][order]
+    """(earlier, later, differing mark bits) of rows that share a key and pass the size, place and mark filters.
+
+    The rows from c["short"] on are those of long lines and have wide marks.
+    """
+    short = c["short"]
+    key = c["key"].astype(np.uint64) << np.uint64(32) | c["n"]
+    order = np.lexsort((c["line"], c["tag"], c["doc"], c["a"], c["mark"], key))
+    k, mark, a = key[order], c["mark"][order], c["a"][order]
+    same = (k[1:] == k[:-1]) & (mark[1:] == mark[:-1]) & (a[1:] == a[:-1])
+    kept = np.concatenate([[True], ~same])[: len(order)]  # the first of a class stands for it
+    order, k, mark = order[kept], k[kept], mark[kept]
+    t, n, at = k >> np.uint64(32), (k & np.uint64(0xFFFFFFFF)).astype(np.int64), c["at"][order].astype(np.int64)
     alive, step = np.arange(len(order) - 1), 1
     while len(alive):  # neighbours at growing distance; a group is ordered by size, so it ends early
         alive = alive[alive + step < len(order)]
+        near = (t[alive] == t[alive + step]) & (n[alive] + 1e-9 >= threshold * n[alive + step])
+        alive = alive[near]
         x, y = alive, alive + step
-        near = (t[x] == t[y]) & (n[x] + 1e-9 >= threshold * n[y])
-        alive, x, y = alive[near], x[near], y[near]
         need = np.ceil(threshold / (1 + threshold) * (n[x] + n[y]) - 1e-9).astype(np.int64)
-        fits = (1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= need) & (np.bitwise_count(mark[x] ^ mark[y]) <= n[x] + n[y] - 2 * need)
+        other = mark[x] ^ mark[y]
+        apart = np.bitwise_count(other).astype(np.uint16)
+        both = np.flatnonzero((order[x] >= short) & (order[y] >= short))
+        if len(both):
+            p, q, last = order[x[both]] - short, order[y[both]] - short, other[both]
+            total = np.zeros(len(both), np.uint16)
+            for w in ("w0", "w1", "w2"):
+                differ = c[w][p] ^ c[w][q]
+                last = last ^ differ
+                total += np.bitwise_count(differ)
+            apart[both] = total + np.bitwise_count(last)
+        fits = (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (apart <= n[x] + n[y] - 2 * need)
         if fits.any():
             p, q = order[x[fits]], order[y[fits]]
-            later = (c["doc"][p] > c["doc"][q]) | ((c["doc"][p] == c["doc"][q]) & ((c["tag"][p] > c["tag"][q]) | ((c["tag"][p] == c["tag"][q]) & (c["line"][p] > c["line"][q]))))
-            yield np.where(later, q, p), np.where(later, p, q), np.bitwise_count(mark[x[fits]] ^ mark[y[fits]])
+            later = earlier(c, q, p)
+            yield np.where(later, q, p), np.where(later, p, q), apart[fits]
         step += 1
 
 
+def earlier(c: Columns, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (c["doc"][p] < c["doc"][q]) | ((c["doc"][p] == c["doc"][q]) & ((c["tag"][p] < c["tag"][q]) | ((c["tag"][p] == c["tag"][q]) & (c["line"][p] < c["line"][q]))))
+
+
 def met(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """Blobs by document: GONE, and PAIR by the later line's, as often as a pair shares words of its prefixes."""
+    """Blobs by document: GONE, and PAIR by the later line's, once or more a pair."""
 
     def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if GONE in held:
-            c = loaded(held[GONE])
+            c = loaded(held.pop(GONE))
             yield from dealt(GONE, doc_bucket(c["doc"], buckets), c)
         if CLASS in held:
-            c = loaded(held[CLASS])
+            c = loaded(held.pop(CLASS))
             order = np.lexsort((c["line"], c["tag"], c["doc"], c["b"], c["a"]))
             a, b = c["a"][order], c["b"][order]
             gone = order[np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])]
-            yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), {k: c[k][gone] for k in ("doc", "tag", "line")})
-        if PREFIX in held:
-            c = loaded(held[PREFIX])
-            found = list(candidate_pairs(c, threshold))
-            if found:
-                early, late, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-                _, one = np.unique(mixed(identity({k: c[k][early] for k in ("doc", "tag", "line")}) * ODD + identity({k: c[k][late] for k in ("doc", "tag", "line")})), return_index=True)
-                early, late, apart = early[one], late[one], apart[one]
-                sides = {k: c[k][late] for k in ("doc", "tag", "line")} | {f"e_{k}": c[k][early] for k in ("doc", "tag", "line")}
-                here = int(mixed(c["high"][:1].astype(np.uint64) << np.uint64(32) | c["low"][:1])[0] % np.uint64(buckets))
-                yield from dealt(PAIR, doc_bucket(c["doc"][late], buckets), sides | {"apart": apart, "to": np.full(len(late), here, np.int32)})
+            yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), {k: c[k][gone] for k in LINE})
+        if PREFIX not in held and WIDE not in held:
+            return
+        c, found, size = loaded(held.pop(PREFIX, []) + (wide := held.pop(WIDE, []))), [], 0
+        c["short"] = len(c["n"]) - (len(c["w0"]) if wide else 0)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            early, late, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            _, one = np.unique(mixed(identity(c, early) * ODD + identity(c, late)), return_index=True)
+            early, late, apart = early[one], late[one], apart[one]
+            yield from dealt(PAIR, doc_bucket(c["doc"][late], buckets), {k: c[k][late] for k in LINE} | {f"e_{k}": c[k][early] for k in LINE} | {"apart": apart})
+
+        for pairs in candidate_pairs(c, threshold):
+            found.append(pairs)
+            size += len(pairs[0])
+            if size > HELD:
+                yield from sent()
+                size = 0
+        if found:
+            yield from sent()
 
     return per_bucket(blobs, of)
 
 
-def identity(c: Columns, prefix: str = "") -> np.ndarray:
+def identity(c: Columns, rows: np.ndarray | slice = slice(None), prefix: str = "") -> np.ndarray:
     """A 64-bit hash of (document, checksum, line)."""
-    return mixed(c[f"{prefix}doc"].view(np.uint64) * ODD + (c[f"{prefix}tag"].astype(np.uint64) << np.uint64(32) | c[f"{prefix}line"]))
+    return mixed(c[f"{prefix}doc"][rows].astype(np.int64).view(np.uint64) * ODD + (c[f"{prefix}tag"][rows].astype(np.uint64) << np.uint64(32) | c[f"{prefix}line"][rows]))
 
 
-def unique_pairs(pairs: DataFrame, buckets: int) -> DataFrame:
-    """Each pair once, as a PAIR blob of the least bucket (to) that found it; with a HALF blob, by its own
-    document, for each line that a bucket needs.
+def needs(c: Columns, buckets: int) -> Iterator[pa.RecordBatch]:
+    """HALF blobs, by its own document, for each line that the bucket of these pairs' later lines must see."""
+    to, late, early = doc_bucket(c["doc"], buckets), identity(c), identity(c, prefix="e_")
+    own, to = np.concatenate([early, late]), np.tile(to, 2)
+    _, first = np.unique(mixed(own + to.astype(np.uint64) * ODD), return_index=True)
+    need = {k: np.concatenate([c[f"e_{k}"], c[k]])[first] for k in LINE}
+    yield from dealt(HALF, doc_bucket(need["doc"], buckets), need | {"id": own[first], "to": to[first]})
 
-    Lines that are alike share their rare words, so a group of them meets in the few buckets of these words.
-    """
+
+def ranked_pairs(pairs: DataFrame, buckets: int) -> DataFrame:
+    """PAIR: each later line's likeliest candidate; REST: its others; HALF: the lines that PAIR needs."""
 
     def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         c = loaded(held[PAIR])
-        late, early = identity(c), identity(c, "e_")
-        pair = mixed(early * ODD + late)
-        order = np.lexsort((c["to"], pair))
-        order = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(order)]]
-        c, late, early = {k: v[order] for k, v in c.items()}, late[order], early[order]
-        names = ("doc", "tag", "line")
-        yield from dealt(PAIR, c["to"], {k: c[k] for k in (*names, "apart")} | {"early": early, "late": late})
-        own, to = np.concatenate([early, late]), np.tile(c["to"], 2)
-        _, first = np.unique(mixed(own + to.astype(np.uint64) * ODD), return_index=True)
-        need = {k: np.concatenate([c[f"e_{k}"], c[k]])[first] for k in names}
-        yield from dealt(HALF, doc_bucket(need["doc"], buckets), need | {"id": own[first], "to": to[first]})
+        late, early = identity(c), identity(c, prefix="e_")
+        order = np.lexsort((early, c["e_line"], c["e_tag"], c["e_doc"], c["apart"], late))
+        late, early = late[order], early[order]
+        new = np.concatenate([[True], late[1:] != late[:-1]])
+        once = new | np.concatenate([[True], early[1:] != early[:-1]])
+        best, rest = order[new], order[once & ~new]
+        pick = lambda rows: {k: v[rows] for k, v in c.items()}
+        yield from dealt(PAIR, doc_bucket(c["doc"][best], buckets), pick(best))
+        yield from dealt(REST, doc_bucket(c["doc"][rest], buckets), pick(rest))
+        yield from needs(pick(best), buckets)
 
     return per_bucket(pairs, of)
 
@@ -256,11 +349,45 @@ class Own:
         return rows[self.c["tag"][rows] == zlib.crc32(text.encode()) & 0xFFFF]
 
 
-def verified(texts: DataFrame, pairs: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """GONE blobs by document: the later lines of pairs that hold up; pairs as from unique_pairs()."""
+class Sets:
+    """The word sets of a bucket's lines, by line."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [loaded([x]) for x in blobs]
+        ids = np.concatenate([x["id"] for x in parts]) if parts else np.zeros(0, np.uint64)
+        counts = np.concatenate([x["count"] for x in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        words = np.concatenate([x["words"][x["codes"]] for x in parts]) if parts else np.zeros(0, np.uint64)
+        self.ids, first = np.unique(ids, return_index=True)
+        self.start, self.count = (np.cumsum(counts) - counts)[first], counts[first]
+        self.codes = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+
+    def similar(self, early: np.ndarray, late: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether each pair reaches the threshold; a line that isn't there reaches none."""
+        out = np.zeros(len(early), bool)
+        if not len(self.ids):
+            return out
+        x, y = (np.minimum(np.searchsorted(self.ids, k), len(self.ids) - 1) for k in (early, late))
+        there = np.flatnonzero((self.ids[x] == early) & (self.ids[y] == late))
+        total = np.cumsum(self.count[x[there]] + self.count[y[there]])
+        lo = 0
+        while lo < len(there):  # about HELD words at a time
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HELD, "right")))
+            rows = there[lo:hi]
+            sides, pair = np.concatenate([x[rows], y[rows]]), np.tile(np.arange(len(rows)), 2)
+            n = self.count[sides]
+            at = np.repeat(self.start[sides] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            keys = np.sort(np.repeat(pair, n).astype(np.uint64) << np.uint64(32) | self.codes[at])
+            common = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(rows))
+            out[rows] = common + 1e-9 >= threshold * (self.count[x[rows]] + self.count[y[rows]] - common)
+            lo = hi
+        return out
+
+
+def fetched(texts: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+    """HALF blobs (word sets of lines) by the bucket that asked for them."""
     own = Own()
 
-    def fetch(c: Columns, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def of(c: Columns, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not c:
             return
         own.load(c)
@@ -271,50 +398,53 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float, buckets: int)
                 split = text.split("\n")
                 lines += [split[k] for k in c["line"][mine].tolist()]
                 found.append(mine)
-        if found:
-            mine = np.concatenate(found)
-            _, one = np.unique(mixed(c["id"][mine] + c["to"][mine].astype(np.uint64) * ODD), return_index=True)
-            lines, mine = [lines[i] for i in one.tolist()], mine[one]
-            h, counts = word_hashes(lines)
-            starts = np.cumsum(counts) - counts
-            order = np.argsort(c["to"][mine], kind="stable")
-            to = c["to"][mine][order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                part = order[i:j]
-                words, codes = np.unique(np.concatenate([h[starts[r] : starts[r] + counts[r]] for r in part.tolist()]), return_inverse=True)
-                small = np.uint16 if len(words) < 1 << 16 else np.uint32
-                yield one_blob(HALF, int(to[i]), {"id": c["id"][mine[part]], "count": counts[part].astype(np.uint32), "words": words, "codes": codes.astype(small)})
-
-    def judge(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if not found:
+            return
+        mine = np.concatenate(found)
+        own_words, counts = word_hashes(lines)
+        line = np.repeat(np.arange(len(lines)), counts)
+        order = np.lexsort((own_words, line))
+        own_words, line = own_words[order], line[order]
+        once = np.concatenate([[True], (own_words[1:] != own_words[:-1]) | (line[1:] != line[:-1])])[: len(line)]
+        own_words, counts = own_words[once], np.bincount(line[once], minlength=len(lines))
+        starts = np.cumsum(counts) - counts
+        order = np.argsort(c["to"][mine], kind="stable")
+        to = c["to"][mine][order]
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = order[i:j]
+            n = counts[part]
+            used, small = np.unique(own_words[np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], return_inverse=True)
+            kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+            yield one_blob(HALF, int(to[i]), {"id": c["id"][mine[part]], "count": n.astype(np.uint32), "words": used, "codes": small.astype(kind)})
+
+    return with_texts(with_slot(texts).join(slots_of(asked), "slot", "left_semi").drop("slot"), asked, of, BLOB, buckets)
+
+
+def judged(texts: DataFrame, pairs: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """GONE blobs of the later lines of PAIRs that hold up; of the others the RESTs, as PAIR and HALF blobs."""
+
+    def of(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if PAIR not in held:
             return
-        sets: dict[int, set] = {}
-        for blob in held.get(HALF, ()):
-            x = loaded([blob])
-            words, at = x["words"][x["codes"]].tolist(), 0
-            for i, n in zip(x["id"].tolist(), x["count"].tolist(), strict=True):
-                if i not in sets:
-                    sets[i] = set(words[at : at + n])
-                at += n
-        c = loaded(held[PAIR])
-        order = np.lexsort((c["apart"], c["late"]))  # the likeliest of a line's candidates first
-        gone, last = [], None
-        for r, early, late in zip(order.tolist(), c["early"][order].tolist(), c["late"][order].tolist(), strict=True):
-            if late != last and early in sets and late in sets:
-                x, y = sets[early], sets[late]
-                common = len(x & y)
-                if common + 1e-9 >= threshold * (len(x) + len(y) - common):
-                    gone.append(r)
-                    last = late
-        rows = np.array(gone, np.int64)
-        yield from dealt(GONE, doc_bucket(c["doc"][rows], buckets), {k: c[k][rows] for k in ("doc", "tag", "line")})
-
-    fetched = with_texts(texts, pairs.where(f"kind = {HALF}"), fetch, BLOB, buckets)
-    return per_bucket(fetched.unionByName(pairs.where(f"kind = {PAIR}").select("kind", "bucket", "data")), judge)
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+        sets, c = Sets(held.pop(HALF, [])), loaded(held.pop(PAIR))
+        late = identity(c)
+        fits = sets.similar(identity(c, prefix="e_"), late, threshold)
+        _, gone = np.unique(late[fits], return_index=True)
+        gone = np.flatnonzero(fits)[gone]
+        yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), {k: c[k][gone] for k in LINE})
+        if REST in held:
+            more = loaded(held.pop(REST))
+            open_ = np.flatnonzero(~np.isin(identity(more), late[fits]))
+            if len(open_):
+                more = {k: v[open_] for k, v in more.items()}
+                yield from dealt(PAIR, doc_bucket(more["doc"], buckets), more)
+                yield from needs(more, buckets)
+
+    return per_bucket(fetched(texts, pairs.where(f"kind = {HALF}"), buckets).unionByName(pairs.where(f"kind <> {HALF}").select("kind", "bucket", "data")), of)
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, text, rest, n_lines, n_removed): text without the lines that go, the others joined as they were.
 
     A text all of whose lines go is empty. rest is a struct of the other columns, whatever their
@@ -323,14 +453,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts, buckets = string_texts(docs), bucket_count(docs, 1)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("string")
-    counts = word_counts(texts)
-    rarity = np.minimum(255, np.floor(8 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
-    first = durable(met(dealt_lines(texts, rarity, threshold, buckets), threshold, buckets))
-    release(docs.sparkSession)
-    pairs = durable(unique_pairs(first.where(f"kind = {PAIR}"), buckets))
-    release(docs.sparkSession)
-    late = durable(verified(texts, pairs, threshold, buckets))
-    release(docs.sparkSession)
+    first = durable(met(dealt_lines(texts, rarities(texts), threshold, buckets, heavy), threshold, buckets))
+    asked = durable(ranked_pairs(first.where(f"kind = {PAIR}"), buckets))
+    once = durable(judged(texts, asked, threshold, buckets))
+    twice = durable(judged(texts, once.where(f"kind <> {GONE}"), threshold, buckets))
+    gone = first.where(f"kind = {GONE}").unionByName(once.where(f"kind = {GONE}")).unionByName(twice)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
     schema = T.StructType([*whole.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out, own = to_arrow_schema(schema), Own()
@@ -350,5 +477,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             kept.append(text)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(kept, out.field("text").type), rows.column("rest"), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], schema=out)
 
-    gone = first.where(f"kind = {GONE}").unionByName(late)
-    return with_texts(whole, gone, cut, schema, buckets)
+    whole, slots = with_slot(whole), slots_of(gone)
+    lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    calm = whole.join(slots, "slot", "left_anti").select("doc_id", "text", "rest", lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return with_texts(whole.join(slots, "slot", "left_semi").drop("slot"), gone, cut, schema, buckets).unionByName(calm)

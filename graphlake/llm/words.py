@@ -1,28 +1,66 @@
-"""Words of many texts at once: their hashes, found by one pass of Arrow and one hash a distinct word."""
+"""Words of many texts at once, hashed from their bytes without making a string of each.
+
+The hash of a word is a polynomial over its bytes, taken as a difference of prefix sums over powers
+of an odd base, then mixed to 64 bits.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+BASE, STEP = 0xD6E8FEB86659FD93, 1 << 20
+#: ASCII white space.
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\x0b\x0c\r")] = True
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Of BASE and of its inverse modulo 2^64."""
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(STEP, np.uint64(x)))]) for x in (BASE, pow(BASE, -1, 2**64)))
+
+
+def byte_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of a byte array; words are runs of anything but ASCII white space."""
+    power, inverse = powers()
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[data], [True]])))
+    start, stop = edges[::2], edges[1::2]
+    out = np.empty(len(start), np.uint64)
+    lo = first = 0
+    while first < len(start):  # whole words, about STEP bytes at a time; a longer word by itself, in parts
+        lo = int(start[first])
+        last = max(first + 1, int(np.searchsorted(stop, lo + STEP, "right")))
+        end = int(stop[last - 1])
+        if end - lo <= STEP:
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((data[lo:end] + np.uint64(1)) * power[: end - lo])])
+            a, b = start[first:last] - lo, stop[first:last] - lo
+            out[first:last] = (sums[b] - sums[a]) * inverse[a]
+        else:
+            total, shift = np.uint64(0), np.uint64(1)
+            for at in range(lo, end, STEP):
+                part = data[at : min(at + STEP, end)]
+                total += ((part + np.uint64(1)) * power[: len(part)]).sum(dtype=np.uint64) * shift
+                shift *= power[STEP]
+            out[first] = total
+        first = last
+    return start, mixed(out + (stop - start).astype(np.uint64) * ODD)
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, a line break between them; where each text ends there)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return np.frombuffer(b"\n".join(raw), np.uint8), np.cumsum([len(r) + 1 for r in raw]) - 1
 
 
 def word_hashes(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, words of each text); words are runs of anything but ASCII white space."""
-    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-    words = pc.ascii_split_whitespace(array)
-    flat, ends = words.flatten(), words.offsets.to_numpy()
-    kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(kept)])
-    counts = np.diff(before[ends - ends[0]])
-    coded = flat.filter(pa.array(kept)).dictionary_encode()
-    if not len(coded):
-        return np.zeros(0, np.uint64), counts
-    own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
-    return own[coded.indices.to_numpy()], counts
+    """(64-bit hash of each word, words of each text)."""
+    data, ends = joined(texts if isinstance(texts, list) else texts.to_pylist())
+    start, own = byte_words(data)
+    return own, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -87,7 +87,8 @@ def lines_brute(rows, t=0.8):
     return out
 
 
-def test_lines_equal_brute_force(docs_of):
+@pytest.mark.parametrize("heavy", [1, 4, 8192])
+def test_lines_equal_brute_force(docs_of, heavy):
     draw = random.Random(9)
     lines = [" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(1, 14))) for _ in range(120)]
     rows = []
@@ -96,7 +97,7 @@ def test_lines_equal_brute_force(docs_of):
         own += [" ".join(x if draw.random() > 0.1 else "new" for x in draw.choice(lines).split()) for _ in range(3)]
         rows.append((d, "\n".join(own)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "\n".join(lines)), (104, "long " + " ".join(f"w{i}" for i in range(3000)))]
-    out = line_dedup.dedup_lines(docs_of(rows))
+    out = line_dedup.dedup_lines(docs_of(rows), heavy=heavy)
     got = {r.doc_id: (r.n_removed, r.text) for r in out.collect()}
     assert got == lines_brute(rows)
     assert out.first().rest.n_words == "clash"
