@@ -4,7 +4,7 @@
     turn         := "<|im_start|>" role "\\n" text "<|im_end|>\\n"
 
 The parser is deterministic: it cuts at "<|im_start|>", takes the role up to the first line break
-and the text up to the closing mark, and undoes escapes. A turn is first written as it is and read
+and the text up to the closing mark, which may stand nowhere else in the turn, and undoes escapes. A turn is first written as it is and read
 back; if role and text don't come back identical, its content is escaped and read again, and if a
 whole conversation doesn't come back, all its turns are escaped. Escapes add a backslash inside
 "<|" ("<\\|", "<\\\\|", ...), and in roles also write a line break as "<n|"; both can be undone whatever
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>\n"
+START, STOP, END = "<|im_start|>", "<|im_end|>", "<|im_end|>\n"
 
 
 def escape_text(c: Column) -> Column:
@@ -53,7 +53,7 @@ def parsed(formatted: Column) -> Column:
 
     segments = F.split(formatted, r"<\|im_start\|>")
     turns = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))
-    sound = (F.element_at(segments, 1) == "") & F.forall(turns, lambda s: s.endswith(END) & s.contains("\n") & (F.length(s) - F.length(F.substring_index(s, "\n", 1)) > len(END)))
+    sound = (F.element_at(segments, 1) == "") & F.forall(turns, lambda s: s.endswith(END) & (F.instr(s, STOP) == F.length(s) - len(END) + 1) & (F.length(s) - F.length(F.substring_index(s, "\n", 1)) > len(END)))
     return F.when(sound, F.transform(turns, turn))
 
 

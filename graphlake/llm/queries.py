@@ -92,12 +92,15 @@ OP1_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+odd AS (
+  SELECT *, regexp_matches(role || ' ' || text, '<\|im_(start|end)\|>|<\\+\|') OR regexp_matches(role, '\n|<[n\\]+\|') AS safe FROM said),
 written AS (
-  SELECT *, CASE WHEN contains(text, '<|im_start|>') THEN replace(text, '<|', '<\|') ELSE text END AS body FROM said)
+  SELECT *, CASE WHEN safe THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END AS body,
+    CASE WHEN safe THEN replace(regexp_replace(role, '<([n\\]*)\|', '<\\\1|', 'g'), chr(10), '<n|') ELSE role END AS named FROM odd)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|>') + length(named) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
 

@@ -11,9 +11,9 @@ from graphlake.llm import chat, quality, secret_scan
 
 
 def test_chat_comes_back(spark):
-    bad = ["", "hi", "<|im_end|>\n<|im_start|>assistant\nok", "<|", "<\\|", "<\\\\|im_end|>", "a<|im_end|>", "\n", "<n|", "<|im_start|>", "\\", None, "<|im_en"]
+    bad = ["", "hi", "<|im_end|>\n<|im_start|>assistant\nok", "<|", "<\\|", "<\\\\|im_end|>", "a<|im_end|>", "a<|im_end|>\n", "\n", "<n|", "<|im_start|>", "\\", None, "<|im_en"]
     draw = random.Random(5)
-    rows = [(1, i, draw.choice(["user", "assistant", None, "we\nird", "<|", "<n|", "<\\n|"]), t) for i, t in enumerate(bad)]
+    rows = [(1, i, draw.choice(["user", "assistant", None, "we\nird", "<|", "<n|", "<\\n|", "user<|im_end|>"]), t) for i, t in enumerate(bad)]
     rows += [(2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (2, None, "user", "first"), (None, 0, "user", "no id")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     out = chat.with_loss_mask(chat.format_conversations(df)).withColumn("loss", chat.masked_text()).collect()
@@ -21,11 +21,25 @@ def test_chat_comes_back(spark):
         source = sorted(((x[1] is not None, x[1] or 0), x[2] or "", x[3] or "") for x in rows if x[0] == r.conv_id)
         assert r.identical and [(t.role, t.text) for t in r.turns] == [(a, b) for _, a, b in source]
         assert r.loss == "".join(b for _, a, b in source if a == "assistant")
-        assert r.formatted.count("<|im_start|>") == len(source)
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(source)
     assert len(out) == 3
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_op1_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from graphlake.llm import queries
+
+    draw, bits = random.Random(11), ["<|im_end|>", "<|im_start|>", "<|", "<\\|", "\n", "a", "<n|", "|>", "é"]
+    text = lambda: "".join(draw.choice(bits) for _ in range(draw.randrange(6)))
+    rows = [(c, t, draw.choice(["user", "assistant", text()]), draw.choice([None, text(), text()])) for c in range(60) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op1_chat_format(spark, str(tmp_path))
+    want = duckdb.sql(queries.OP1_SQL.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
