@@ -8,7 +8,11 @@ space, then other characters), joined, and a task needs to encode a chunk once.
 
 New chunks are encoded many at a time by a rank table made from the file's own merges; a table
 whose ids differ from the tokenizers library on a probe of every vocabulary entry that is a text (whole
-UTF-8, nothing reserved) isn't used, the library itself is then; each worker process probes once. Texts with characters that the table reserves go to the library whole.
+UTF-8, nothing reserved) isn't used, the library itself is then; each worker process probes once.
+
+The table reads classes, lower case and normal forms from other Unicode tables than the library, so
+each code point is tried when it first comes up, and texts with one that may differ, or with one that
+the table reserves, go to the library whole (see Repertoire).
 """
 
 from __future__ import annotations
@@ -133,6 +137,40 @@ def chunk_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], Callab
     return whole, whole, no_space
 
 
+class Repertoire:
+    """The code points that the table is known to treat as the library does.
+
+    Such a one is assigned and inert under normalisation by itself and beside others (no mark, no
+    conjoining letter), and gives the library's ids alone, between letters, and between symbols. With
+    word ends these ids show every cut and the lower case, so they settle its class; a byte-level
+    table's ids need not show a cut, so there its class must also have been the same ever since
+    Unicode 3.2, before any of the tables concerned.
+    """
+
+    def __init__(self, table: Callable[[list[str]], list[bytes]], library: Callable[[list[str]], list[bytes]], cuts_show: bool):
+        self.table, self.library, self.cuts_show = table, library, cuts_show
+        self.fine, self.odd = set(map(chr, range(128))), set()
+
+    def inert(self, c: str) -> bool:
+        import unicodedata as u
+
+        kind = u.category(c)
+        old = self.cuts_show or u.ucd_3_2_0.category(c) == kind
+        return old and kind not in ("Cn", "Cs", "Mn", "Mc", "Me") and not 0x1100 <= ord(c) < 0x1200 and u.is_normalized("NFC", c)
+
+    def odd_ones(self, texts: list[str]) -> list[int]:
+        """Which texts hold another code point."""
+        wide = [i for i, t in enumerate(texts) if not t.isascii()]
+        seen = set().union(*(texts[i] for i in wide))
+        new = sorted(seen - self.fine - self.odd)
+        likely = [c for c in new if self.inert(c) and not RESERVED.search(c)]
+        tries = [t for c in likely for t in (c, f"a{c}a", f"!{c}!", f"A{c}")]
+        same = [a == b for a, b in zip(self.table(tries), self.library(tries), strict=True)] if tries else []
+        self.fine.update(c for k, c in enumerate(likely) if all(same[4 * k : 4 * k + 4]))
+        self.odd.update(c for c in new if c not in self.fine)
+        return [] if seen <= self.fine else [i for i in wide if not self.odd.isdisjoint(texts[i])]
+
+
 class WordCache:
     """Ids of words, in two generations: the older one goes when the newer one is full."""
 
@@ -168,15 +206,21 @@ class TextEncoder:
         some, self.whole, self.no_space = chunk_encoder(path)
         self.table = getattr(some, "__self__", None)
         self.cache = WordCache(some)
+        self.repertoire = Repertoire(self.by_table, self.whole, self.no_space)
+
+    def by_table(self, texts: list[str]) -> list[bytes]:
+        return self.by_words(texts) if self.no_space else [self.table.whole(t) if t else b"" for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if self.table is None or RESERVED.search(t)]
+        if self.table is None:
+            return self.whole(texts)
+        odd = sorted({*self.repertoire.odd_ones(texts), *(i for i, t in enumerate(texts) if RESERVED.search(t))})
         plain = texts
         if odd:
             plain = list(texts)
             for i in odd:
                 plain[i] = ""
-        out = self.by_words(plain) if self.no_space else [self.table.whole(t) if t else b"" for t in plain]
+        out = self.by_table(plain)
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         return out

@@ -1,6 +1,9 @@
 """Vocabulary encoders, BPE by tree reduction, packing and token files against the libraries."""
 
 import base64
+import hashlib
+import json
+import unicodedata
 import random
 import zlib
 
@@ -27,6 +30,40 @@ def test_encoder_equals_library(name):
     assert document_encoder(P.path(name), 2)(texts) == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library_in_all_scripts(name):
+    draw, mixed = random.Random(3), []
+    kinds = [lambda: chr(draw.randrange(0x20, 0x250)), lambda: chr(draw.randrange(0x250, 0x3000)), lambda: chr(draw.randrange(0x3000, 0xD800)), lambda: chr(draw.randrange(0xE000, 0x11000)),
+             lambda: chr(draw.randrange(0x10000, 0x1F000)), lambda: chr(draw.randrange(0x1F000, 0x30000)), lambda: draw.choice("aA1 .'e\u0301\u0316\u1100\u1161\u11a8\u09c7\u09beΣİK")]
+    for _ in range(6000):
+        some = draw.sample(kinds, 2)
+        mixed.append("".join(draw.choice(some)() for _ in range(draw.randrange(1, 12))))
+    mixed += [chr(c) + "a" + chr(c) for c in range(0x110000) if c % 7 == 0 and not 0xD800 <= c < 0xE000]
+    mixed += ["\u209eB", "\u208f\u1f5c", *"\u1c89\ua7cb\U00010d50\U00010d65\U00016ea0"]
+    want = [x + b"\2\0\0\0" for x in library_encoder(P.path(name))(mixed)]
+    got = document_encoder(P.path(name), 2)(mixed)
+    assert [t for t, a, b in zip(mixed, got, want, strict=True) if a != b] == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_merges_by_rank_are_merges_by_pair(name):
+    """Each merge's bytes come down to its own pair under the merges before it: so a rank's bytes meet by no other pair."""
+    model = json.load(open(P.path(name), encoding="utf-8"))["model"]
+    end = model.get("end_of_word_suffix") or "\0none"
+    rank: dict[tuple, int] = {}
+    split = lambda t: (*t.removesuffix(end)[:-1], t.removesuffix(end)[-1:] + (end if t.endswith(end) else ""))
+    for k, pair in enumerate(model["merges"]):
+        left, right = pair.split(" ") if isinstance(pair, str) else pair
+        parts = list(split(left + right))
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 10**9))
+            if rank.get(parts[best] + parts[best + 1], 10**9) == 10**9:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [left, right]
+        assert rank.setdefault(left + right, k) == k
+
+
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
@@ -60,6 +97,11 @@ def test_bpe_documents(docs_of):
     rows = [*enumerate(ODD), (100, None)]
     got = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in encode_documents(docs_of(rows), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, leaf=16).collect()}
     assert got == {i: (LIBRARY.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
+    told = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_documents(docs_of(rows), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True).collect()}
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    assert told == {i: (len(ids), sha(",".join(map(str, ids)).encode()), sha(raw)) for i, (ids, raw) in got.items()}
+    with pytest.raises(ValueError):
+        Tree(RANKS, r"\s*[\r\n]+|\S+|\s+")
     assert encode_documents(docs_of([]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
