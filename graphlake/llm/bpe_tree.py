@@ -12,6 +12,8 @@ anew a window around their border, until what lies outside provably stays as it
   the right half starts, both go on alike from there. Until then the window takes twice as many
   matches of the right half; the whole half at most.
 
+The proof is of PATTERN; other patterns are refused.
+
 Ids follow: each match is encoded by itself, so matches outside the window keep theirs. The empty
 text is the identity. Decoding concatenates the bytes of the ids up the same tree.
 """
@@ -31,6 +33,8 @@ from .common import arrow_schema, slices, text_rows
 
 #: Characters of a leaf; kept matches a task.
 LEAF, CACHED = 2048, 300_000
+#: Fixed value: the published cutting pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 Element = tuple[list[str], list[str]]
 
 
@@ -40,6 +44,8 @@ class Tree:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
         import tiktoken
 
+        if pattern != PATTERN:
+            raise ValueError("a match of another pattern may read farther than settled() allows for")
         self.find, self.leaf = regex.compile(pattern).findall, max(1, leaf)
         self.match_ids = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bytes_of = {v: k for k, v in ranks.items()}
