@@ -7,13 +7,19 @@ gives, for each rule, the places where acceptance ends; the rule's reversed DFA,
 back to the end of its match before, gives the leftmost start. Hence matches per rule are leftmost,
 longest and without overlap, as of a regex search, for rules whose matches end with one run that
 accepts from its first character on (all rules here do). A match that is too short is dropped, but
-what it covers is not searched again.
+what it covers is not searched again. Reading back stops where nothing can be accepted any more, so
+a byte is read again only by rules whose match may hold it.
+
+Base rules and cut keys are found independently of all others. Of the further rules only one runs on at a time:
+from the first run of one on (its fixed beginning is over), others don't start inside it, so the sets
+of states of the subset construction don't multiply; a credential glued to another may be found in part.
 
 Spans are code points, end exclusive, of the whole match. Empty and null texts have none.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,13 +36,14 @@ from .common import arrow_schema, slices, text_rows
 
 @dataclass(frozen=True)
 class Rule:
-    """least: characters of the whole match, or of its closing run if tail."""
+    """least: characters of the whole match, or of its closing run if tail; apart: found independently of all others, as base rules are."""
 
     kind: str
     pattern: str
     least: int
     tail: bool = False
     base: bool = False
+    apart: bool = False
 
 
 #: The base rules of the contract and public credential formats.
@@ -47,14 +54,38 @@ BASE = (
 )
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]+", 50),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", 60),
+    Rule("google_key", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]+", 30),
+    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", 24),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 60),
+    Rule("npm", r"npm_[A-Za-z0-9]+", 40),
+    Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]+", 50),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 36),
+    Rule("access_temporary", r"ASIA[A-Z0-9]+", 20),
+    Rule("storage_key", r"AccountKey=[A-Za-z0-9+/=]+", 60),
+    Rule("digitalocean", r"do[opr]_v1_[a-f0-9]+", 71),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[a-fA-F0-9]+", 38),
+    Rule("model_hub", r"hf_[A-Za-z0-9]+", 37),
+    Rule("databricks", r"dapi[a-f0-9]+", 36),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]+", 28),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]+", 36),
+    Rule("atlassian", r"ATATT3[A-Za-z0-9_=-]+", 60),
+    Rule("square", r"sq0(atp|csp)-[A-Za-z0-9_-]+", 29),
+    Rule("telegram", r"bot[0-9]+:AA[A-Za-z0-9_-]+", 44),
+    Rule("age", r"AGE-SECRET-KEY-1[A-Z0-9]+", 74),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\r\n]+(Proc-Type: 4,ENCRYPTED[\r\n]+DEK-Info: [A-Z0-9,-]+)?[A-Za-z0-9+/=\r\n]+-----END [A-Z ]*PRIVATE KEY-----", 60),
+    Rule("pem_cut", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*", 27, apart=True),
 )
 RULES = BASE + MORE
 
 
 class Nfa:
     def __init__(self):
+        self.loops: set[int] = set()
         self.on: list[list[tuple[frozenset[int], int]]] = []
         self.free: list[list[int]] = []
 
@@ -82,6 +113,7 @@ class Nfa:
                 if str(high) == "MAXREPEAT":
                     loop = self.fork(at)
                     self.free[self.add(body, loop, any_case, reverse)].append(loop)
+                    self.loops.add(loop)
                     at = loop
                 else:
                     for _ in range(high - low):
@@ -98,14 +130,14 @@ class Nfa:
         self.free[start].append(new)
         return new
 
-    def closure(self, states: frozenset[int]) -> frozenset[int]:
+    def closure(self, states: frozenset[int]) -> set[int]:
         seen, todo = set(states), list(states)
         while todo:
             for x in self.free[todo.pop()]:
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
-        return frozenset(seen)
+        return seen
 
 
 def byte_set(name: str, arg, any_case: bool) -> frozenset[int]:
@@ -143,40 +175,82 @@ class Dfa:
     accepts: int
 
     def flat(self) -> list[int]:
-        """Next state times 256, by state times 256 plus byte."""
-        return (self.moves[:, self.classes].astype(np.int64) * 256).ravel().tolist()
+        """Next state times 256, by state times 256 plus byte; equal numbers are one object."""
+        numbers = [s * 256 for s in range(len(self.moves))]
+        return [numbers[s] for s in self.moves[:, self.classes].ravel().tolist()]
+
+    def dead(self) -> int:
+        """The state (times 256) that nothing leaves and that doesn't accept; -1 if there is none."""
+        stays = (self.moves == np.arange(len(self.moves))[:, None]).all(axis=1) & (self.masks == 0)
+        return int(np.flatnonzero(stays)[0]) * 256 if stays.any() else -1
+
+
+def bits(number: int) -> list[int]:
+    out = []
+    while number:
+        low = number & -number
+        out.append(low.bit_length() - 1)
+        number ^= low
+    return out
 
 
-def determinize(nfa: Nfa, start: int, accepting: dict[int, int]) -> Dfa:
-    sets = list({s for edges in nfa.on for s, _ in edges})
-    signature = [tuple(b in s for s in sets) for b in range(256)]
+def determinize(nfa: Nfa, start: int, accepting: dict[int, int], single: dict[int, int] | None = None) -> Dfa:
+    """single: for states of which one group runs on at a time, the group; a set in which a group is in a loop keeps the first such one."""
+    sets = list({chars for edges in nfa.on for chars, _ in edges})
+    signature = [tuple(b in chars for chars in sets) for b in range(256)]
     kinds = {x: i for i, x in enumerate(dict.fromkeys(signature))}
     classes = np.array([kinds[x] for x in signature], np.int64)
     byte_of = [signature.index(x) for x in kinds]
-    states = {nfa.closure(frozenset([start])): 0}
-    order, moves = list(states), []
+    mask_of = lambda states: sum(1 << s for s in states)  # noqa: E731  sets of states are the bits of a number
+    after = [mask_of(nfa.closure(frozenset([s]))) for s in range(len(nfa.on))]
+    to = [[functools.reduce(int.__or__, (after[t] for chars, t in edges if b in chars), 0) for b in byte_of] if edges else None for edges in nfa.on]
+    groups: dict[int, int] = {}
+    for s, g in (single or {}).items():
+        groups[g] = groups.get(g, 0) | 1 << s
+    every = functools.reduce(int.__or__, groups.values(), 0)
+    running = mask_of(s for s in (single or {}) if s in nfa.loops or s in accepting)
+
+    def kept(states: int) -> int:
+        if runs := states & running:
+            first = next(g for g in sorted(groups) if groups[g] & runs)
+            return states & ~every | states & groups[first]
+        return states
+
+    states = {kept(after[start]): 0}
+    order, moves, held = list(states), [], {}
     for current in order:
+        edges = [to[s] for s in bits(current) if to[s]]
         row = []
-        for b in byte_of:
-            target = nfa.closure(frozenset(t for s in current for chars, t in nfa.on[s] if b in chars))
+        for k in range(len(byte_of)):
+            found = 0
+            for e in edges:
+                found |= e[k]
+            target = held.get(found)
+            if target is None:
+                target = held[found] = kept(found)
             if target not in states:
                 states[target] = len(order)
                 order.append(target)
             row.append(states[target])
         moves.append(row)
-    masks = np.array([sum(1 << r for r in {accepting[s] for s in x if s in accepting}) for x in order], np.int64)
+    masks = np.array([sum(1 << r for r in {accepting[s] for s in bits(x) if s in accepting}) for x in order], np.int64)
     return minimize(classes, np.array(moves, np.int64), masks)
 
 
 def minimize(classes: np.ndarray, moves: np.ndarray, masks: np.ndarray) -> Dfa:
     """Partition refinement: blocks split until all states of a block move to the same blocks."""
     _, block = np.unique(masks, return_inverse=True)
+    weights = np.random.default_rng(1).integers(1, 2**63, moves.shape[1] + 1, np.uint64) * np.uint64(2) + np.uint64(1)
     while True:
-        _, finer = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)
+        own = np.random.default_rng(2).integers(0, 2**63, block.max() + 1, np.uint64)[block]  # a row is known by a 64-bit sum
+        _, finer = np.unique((own[moves] * weights[1:]).sum(axis=1, dtype=np.uint64) + own * weights[0], return_inverse=True)
         if finer.max() == block.max():
             break
-        block = finer.ravel()
-    first = np.array([np.flatnonzero(block == b)[0] for b in range(block.max() + 1)])
+        block = finer
+    lead = np.unique(block, return_index=True)[1][block]
+    if (block[moves] != block[moves[lead]]).any() or (masks != masks[lead]).any():
+        raise ArithmeticError("two rows had the same sum")
+    first = np.unique(block, return_index=True)[1]
     rank = np.empty(len(first), np.int64)
     rank[np.argsort(masks[first] != 0, kind="stable")] = np.arange(len(first))
     back = np.argsort(rank)
@@ -192,8 +266,13 @@ def compile_rules(rules: tuple[Rule, ...]) -> tuple[Dfa, list[Dfa], list[Dfa]]:
     nfa = Nfa()
     start = nfa.state()
     nfa.on[start].append((frozenset(range(256)), start))
-    accepting = {nfa.add(tree, nfa.fork(start)): i for i, tree in enumerate(parsed)}
-    every = determinize(nfa, start, accepting)
+    accepting, single = {}, {}
+    for i, tree in enumerate(parsed):
+        first = nfa.fork(start)
+        accepting[nfa.add(tree, first)] = i
+        if not (rules[i].base or rules[i].apart):
+            single |= dict.fromkeys(range(first + 1, len(nfa.on)), i)
+    every = determinize(nfa, start, accepting, single)
 
     def alone(tree, reverse: bool) -> Dfa:
         one = Nfa()
@@ -208,7 +287,7 @@ class Scanner:
         every, back, ahead = compiled or compile_rules(rules)
         self.rules, self.moves, self.start, self.accepts = rules, every.flat(), every.start * 256, every.accepts * 256
         self.masks = every.masks.tolist()
-        self.back = [(d.flat(), d.start * 256, d.accepts * 256) for d in back]
+        self.back = [(d.flat(), d.start * 256, d.accepts * 256, d.dead()) for d in back]
         self.ahead = [(d.flat(), d.start * 256, d.accepts * 256) for d in ahead]
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
@@ -234,12 +313,14 @@ class Scanner:
         data = text.encode("utf-8", "surrogatepass")
         found, done = [], [0] * len(self.rules)
         for rule, end in self.ends(data):
-            moves, s, accepts = self.back[rule]
+            moves, s, accepts, dead = self.back[rule]
             start = -1
             for i in range(end - 1, done[rule] - 1, -1):
                 s = moves[s + data[i]]
                 if s >= accepts:
                     start = i
+                elif s == dead:
+                    break
             if start < 0:
                 continue
             done[rule], size = end, end - start

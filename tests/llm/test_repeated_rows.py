@@ -49,6 +49,38 @@ def test_the_radius_does_not_come_from_copies(spark):
     assert len(found & {(q, i) for q, top in want.items() for _, i in top}) >= 90
 
 
+def test_ties_clashing_columns_and_query_blocks(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(9).normal(size=(80, 20))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, x[i % 4].tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "score", "query_id", "rank", "data", "label")})
+    want = nearest(rows, [(i, x[i]) for i in range(0, 80, 8)], 10)
+    for block in (3, 10_000):
+        got: dict = {}
+        for r in hamming.search(df, df.where("vec_id < 80 and vec_id % 8 = 0"), k=10, recall=1.0, block=block).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(want)
+        for q in got:
+            top = [(s, i) for _, i, s in sorted(got[q])]
+            assert top == sorted(top) and len(top) == 10  # ties by the smaller id
+            assert [i for s, i in top if s == 0] == [i for s, i in want[q] if s == 0]
+            assert len({i for _, i in top} & {i for _, i in want[q]}) >= 9
+
+
+def test_probes_find_every_code_within_the_radius():
+    draw = np.random.default_rng(3)
+    codes = draw.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
+    codes[1::2] = codes[::2] ^ (np.uint16(1) << draw.integers(0, 16, (1500, 4)).astype(np.uint16))
+    ids = np.arange(3000)
+    block = hamming.Block.read(hamming.Block.written(ids, np.zeros((3000, 2)), codes))
+    for q in range(0, 3000, 97):
+        far = np.bitwise_count(codes ^ codes[q]).sum(1)
+        for radius in (0, 1, 3, 4, 7, 12, 20, 64):
+            assert block.within(codes[q], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+        assert len(block.probed(codes[q], 7)) < 300  # a radius of 1 in each substring: few of all rows
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_each_text_under_one_id_is_verified(docs_of, block):
     draw = random.Random(7)
