@@ -83,6 +83,18 @@ class Engine:
             more = more.unionByName(edges.select(*names))
         return Engine(PropertyGraph(tables, more, g.labels, g.versions), self.base)
 
+    def with_new_nodes(self, kind: str, rows: DataFrame, ts: int) -> Engine:
+        """An engine over the graph with rows (properties) as nodes of a type, each with a rid of its own above all others and a first version at ts."""
+        g = self.graph
+        top = g.nodes().agg(F.coalesce(F.max("rid"), F.lit(-1))).first()[0]
+        new = traverse.durable(rows.withColumn("rid", F.monotonically_increasing_id() + top + 1))  # ids must not change between reads
+        out = self.created(nodes={kind: new})
+        if g.versions is None:
+            return out
+        others = {c: F.lit(None).cast(t).alias(c) for c, t in g.versions.dtypes if c not in ("rid", "ts", "data")}
+        first = new.select("rid", F.lit(ts).cast("long").alias("ts"), F.to_json(F.struct(*rows.columns)).alias("data"), *others.values())
+        return out.updated(first.select(*g.versions.columns))
+
     def updated(self, versions: DataFrame) -> Engine:
         g = self.graph
         return Engine(PropertyGraph(g.tables, g.edges, g.labels, temporal.write_versions(g.versions, versions)), self.base)

@@ -18,6 +18,19 @@ def escaped_literal(c: Column) -> Column:
     return c
 
 
+def unescaped_literal(c: Column) -> Column:
+    """The text of an escaped literal: \\\\, \\", \\n, \\r, \\t, \\b, \\f, \\uXXXX and \\UXXXXXXXX undone from left to right."""
+    simple = F.create_map(*(F.lit(x) for pair in {"\\\\": "\\", '\\"': '"', "\\'": "'", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\b": "\b", "\\f": "\f"}.items() for x in pair))
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\$"), F.lit(0))
+
+    def undone(x: Column) -> Column:
+        code = F.conv(F.substring(x, 3, 8), 16, 10).cast("bigint")
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        return F.when(x.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), wide).otherwise(F.coalesce(simple[x], x))
+
+    return F.when(c.contains("\\"), F.array_join(F.transform(parts, undone), "")).otherwise(c)
+
+
 def iri(base: str, kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"<{base}{kind}/"), key.cast("string"), F.lit(">"))
 

@@ -54,6 +54,13 @@ def renewed(leases: DataFrame, lease_id: int, expires_at: int) -> DataFrame:
     return leases.withColumn("expires_at", F.when((F.col("lease_id") == lease_id) & F.col("auto_renew"), F.lit(expires_at)).otherwise(F.col("expires_at")))
 
 
+def granted(leases: DataFrame, lease_id: int, cid: str, owner: str, now: int, length: int, auto_renew: bool = False) -> DataFrame:
+    """leases with a new one (lease_id, cid, owner, expires_at, auto_renew), unless a valid one of another owner holds the content."""
+    held = valid_leases(leases, now).where((F.col("cid") == cid) & (F.col("owner") != owner)).limit(1)
+    new = leases.sparkSession.createDataFrame([(lease_id, cid, owner, now + length, auto_renew)], "lease_id long, cid string, owner string, expires_at long, auto_renew boolean")
+    return leases.unionByName(new.join(held.select("cid"), "cid", "left_anti"), allowMissingColumns=True)
+
+
 def revoked(leases: DataFrame, lease_id: int) -> DataFrame:
     return leases.where(F.col("lease_id") != lease_id)
 

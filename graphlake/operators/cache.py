@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QKEY = ["path_sig", "class_sig", "as_of", "cap_base", "cap_len", "type_part"]
@@ -45,11 +45,12 @@ def combined_traces(traces: DataFrame) -> DataFrame:
 
 
 def normal_form(ops: DataFrame) -> DataFrame:
-    """One row (hash) of ops (op, id, src, dst, label, node, key, cid): equal for equal sets of operations.
+    """One row (hash) of ops (op, id, src, dst, label, node, key, cid): equal for equal operations in any order.
 
-    Nodes by id, edges by (src, dst), properties by (node, key), each kind after the other.
+    Each operation's 256-bit hash enters sums that don't depend on the order, so that partial sums do
+    and no task sees all operations. Repeated operations count as often as they come.
     """
-    columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("op", "id", "src", "dst", "label", "node", "key", "cid")]
-    rank: Column = F.when(F.col("op") == "node", 0).when(F.col("op") == "edge", 1).otherwise(2)
-    order = F.struct(rank.alias("rank"), "id", "src", "dst", "node", "key", F.concat_ws("|", *columns).alias("text"))
-    return ops.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"]), "\n"), 256).alias("hash"))
+    columns = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("op", "id", "src", "dst", "label", "node", "key", "cid")]
+    own = ops.select(F.sha2(F.to_json(F.array(*columns)), 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
+    return own.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *(F.coalesce(x, F.lit("0")) for x in parts)), 256).alias("hash"))

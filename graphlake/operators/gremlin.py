@@ -69,6 +69,10 @@ class Traversal:
     def group(self, key: str) -> Traversal:
         return self.then("group", key)
 
+    def group_count(self, key: str) -> Traversal:
+        """Rows (key, count): counted in partial sums, without the lists of group()."""
+        return self.then("groupCount", key)
+
     def order(self, key: str, ascending: bool = True) -> Traversal:
         return self.then("order", key, ascending)
 
@@ -109,6 +113,8 @@ class Traversal:
                 df = df.agg(F.coalesce(F.sum("bulk"), F.lit(0).cast("long")).alias("count"))
             elif name == "group":
                 df = df.join(self._property(args[0]), "current").groupBy(F.col("_v").alias("key")).agg(F.array_sort(F.collect_list("current")).alias("rids"))
+            elif name == "groupCount":
+                df = df.join(self._property(args[0]), "current").groupBy(F.col("_v").alias("key")).agg(F.sum("bulk").alias("count"))
             elif name == "order":
                 key = F.col("_v").asc() if args[1] else F.col("_v").desc()
                 df = df.join(self._property(args[0]), "current", "left").orderBy(key, "current").drop("_v")
@@ -150,14 +156,14 @@ def parse(graph: PropertyGraph, text: str) -> Traversal:
             raise ValueError(f"no step at {text[at:]!r}")
         at = m.end()
         args = [literal(x) for x in re.findall(r"'[^']*'|\"[^\"]*\"|[^,]+", m[2]) if x.strip()]
-        name = {"in": "in_", "hasLabel": "has_label"}.get(m[1], m[1])
-        if name not in ("V", "out", "in_", "both", "has", "has_label", "values", "path", "limit", "count", "dedup", "group", "order", "by"):
+        name = {"in": "in_", "hasLabel": "has_label", "groupCount": "group_count"}.get(m[1], m[1])
+        if name not in ("V", "out", "in_", "both", "has", "has_label", "values", "path", "limit", "count", "dedup", "group", "group_count", "order", "by"):
             raise ValueError(f"unknown step {m[1]}")
         if name == "by":
             kind, *_ = out.steps[-1]
-            out = Traversal(graph, (*out.steps[:-1], (kind, args[0]) if kind == "group" else (kind, args[0], str(args[1:2] or ["asc"]).lower().find("desc") < 0)))
-        elif name in ("group", "order") and not args:
-            out = out.then(name, "")
+            out = Traversal(graph, (*out.steps[:-1], (kind, args[0]) if kind in ("group", "groupCount") else (kind, args[0], str(args[1:2] or ["asc"]).lower().find("desc") < 0)))
+        elif name in ("group", "group_count", "order") and not args:
+            out = out.then({"group_count": "groupCount"}.get(name, name), "")
         else:
             out = getattr(out, name)(*args)
     if at != len(text):

@@ -1,7 +1,8 @@
 """RDFS inference: the schema is closed first, then one join a rule over the data.
 
-The schema (subClassOf, subPropertyOf, domain, range) is bounded by `most_schema` triples, checked;
-its closure is computed on the driver and broadcast. A larger schema is refused, not cut.
+The schema (subClassOf, subPropertyOf, domain, range) is bounded by `most_schema` triples and its closure
+by `most_closure` pairs, both checked; it is closed on the driver and broadcast. What is larger is
+refused, not cut.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE = (f"<{RDFS}{x}>" for x in ("subClassOf",
 ALL = ("domain", "range", "subclass", "subproperty")
 
 
-def closed(pairs: set[tuple[str, str]]) -> set[tuple[str, str]]:
-    """Transitive closure."""
+def closed(pairs: set[tuple[str, str]], most: int) -> set[tuple[str, str]]:
+    """Transitive closure; more than `most` pairs are refused as soon as they are met."""
     up: dict[str, set[str]] = {}
     for a, b in pairs:
         up.setdefault(a, set()).add(b)
@@ -30,10 +31,12 @@ def closed(pairs: set[tuple[str, str]]) -> set[tuple[str, str]]:
                 seen.add(b)
                 todo += up.get(b, ())
         out |= {(a, b) for b in seen}
+        if len(out) > most:
+            raise ValueError(f"the closure of the schema has more than {most} pairs")
     return out
 
 
-def infer(triples: DataFrame, schema: list[tuple[str, str, str]] | None = None, rules: tuple[str, ...] = ALL, most_schema: int = 100_000) -> DataFrame:
+def infer(triples: DataFrame, schema: list[tuple[str, str, str]] | None = None, rules: tuple[str, ...] = ALL, most_schema: int = 100_000, most_closure: int = 1_000_000) -> DataFrame:
     """The triples that the rules add to triples (and schema), each once, none that is asserted."""
     spark = triples.sparkSession
     own = triples.where(F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE)).limit(most_schema + 1).collect()
@@ -41,16 +44,26 @@ def infer(triples: DataFrame, schema: list[tuple[str, str, str]] | None = None,
     if len(known) > most_schema:
         raise ValueError(f"the schema has more than {most_schema} triples")
     pairs = {p: {(s, o) for s, q, o in known if q == p} for p in (SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE)}
-    wide_p = closed(pairs[SUB_PROPERTY]) if "subproperty" in rules else set()
-    wide_c = closed(pairs[SUB_CLASS]) if "subclass" in rules else set()
+    wide_p = closed(pairs[SUB_PROPERTY], most_closure) if "subproperty" in rules else set()
+    wide_c = closed(pairs[SUB_CLASS], most_closure) if "subclass" in rules else set()
     all_p = wide_p | {(p, p) for q in (DOMAIN, RANGE) for p, _ in pairs[q]}
-    up_c = lambda cs: {c for x in cs for c in ({x} | {b for a, b in wide_c if a == x})}
+    above: dict[str, set[str]] = {}
+    for a, b in wide_c:
+        above.setdefault(a, set()).add(b)
 
     def typed(kind: str) -> list[tuple[str, str]]:
-        return sorted({(p, c) for p, q in all_p for c in up_c({o for s, o in pairs[kind] if s == q})})
+        of: dict[str, set[str]] = {}
+        for p, c in pairs[kind]:
+            of.setdefault(p, set()).update({c} | above.get(c, set()))
+        out: set[tuple[str, str]] = set()
+        for p, q in all_p:
+            out |= {(p, c) for c in of.get(q, ())}
+            if len(out) > most_closure:
+                raise ValueError(f"the closure of the schema has more than {most_closure} pairs")
+        return sorted(out)
 
     def small(rows: list, columns: str) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(rows, columns))  # at most the closure of most_schema
+        return F.broadcast(spark.createDataFrame(rows, columns))  # at most most_closure rows
 
     parts = []
     if wide_p:

@@ -137,6 +137,16 @@ def broken(c: Constraint, edge: bool) -> Column:
     raise ValueError(f"unknown constraint {c.kind}")
 
 
+def message_of(c: Constraint, path: str | None) -> str:
+    #: The texts of reports.
+    told = {
+        "datatype": f"{'Property value' if path else 'Value'} does not match datatype {c.arg}",
+        "pattern": f"Value does not match pattern {c.arg}",
+        "in": "Value not in allowed set: [" + ", ".join(f'"{x}"' for x in c.arg) + "]" if c.kind == "in" else "",
+    }
+    return told.get(c.kind, f"Value does not satisfy {c.kind} {c.arg}")
+
+
 def violations_of(graph: PropertyGraph, shape: Shape) -> DataFrame | None:
     edge = shape.path is not None and is_edge(graph, shape.path)
     found, parts = values(graph, shape), []
@@ -150,9 +160,9 @@ def violations_of(graph: PropertyGraph, shape: Shape) -> DataFrame | None:
         n = targets(graph, shape).select("rid").join(found.groupBy("rid").agg(F.count(F.lit(1)).alias("n")), "rid", "left").select("rid", F.coalesce("n", F.lit(0)).alias("n"))
         for c in limits:
             bad = n.where(F.col("n") < c.arg if c.kind == "minCount" else F.col("n") > c.arg)
-            parts.append(told(bad, c.kind, F.format_string("%d values where " + ("at least" if c.kind == "minCount" else "at most") + f" {c.arg} should be", "n"), F.col("n"), c.arg))
+            parts.append(told(bad, c.kind, F.format_string(f"Expected {'at least' if c.kind == 'minCount' else 'at most'} {c.arg} values, found %d", "n"), F.col("n"), c.arg))
     for c in (c for c in shape.constraints if c.kind not in ("minCount", "maxCount")):
-        parts.append(told(found.where(broken(c, edge)), c.kind, F.lit(f"the value breaks {c.kind}"), F.col("value"), c.arg))
+        parts.append(told(found.where(broken(c, edge)), c.kind, F.lit(message_of(c, shape.path)), F.col("value"), c.arg))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

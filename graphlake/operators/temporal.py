@@ -45,16 +45,25 @@ def at_time(graph: PropertyGraph, ts: int) -> PropertyGraph:
     return PropertyGraph(graph.tables, graph.edges_of(as_of=ts), graph.labels, None if graph.versions is None else latest(graph.versions, ts))
 
 
-def nearest_snapshot(snapshots: DataFrame, asked: DataFrame, most: int = 10_000) -> DataFrame:
+def nearest_snapshot(snapshots: DataFrame, asked: DataFrame, ranges: int = 1024) -> DataFrame:
     """For each asked as_of the snapshot with the greatest ts not above it; none: no row.
 
-    Up to `most` snapshot times are looked up in a list inside the row; more of them meet by a join.
+    Times and questions are dealt by ranges of time. A question takes the last time before it in its
+    own range, else the greatest of the ranges before; of those there are at most `ranges` rows.
     """
-    times, wanted = snapshots.select("ts").distinct(), asked.select("as_of").distinct()
-    listed = [r.ts for r in times.limit(most + 1).collect()]
-    if len(listed) <= most:
-        known = F.array(*(F.lit(t) for t in sorted(listed))) if listed else F.expr("cast(array() as array<bigint>)")
-        hit = wanted.withColumn("ts", F.array_max(F.filter(known, lambda t: t <= F.col("as_of")))).where("ts is not null")
-    else:
-        hit = wanted.join(times, times["ts"] <= F.col("as_of")).groupBy("as_of").agg(F.max("ts").alias("ts"))
+    times = snapshots.where("ts is not null").select("ts").distinct()
+    low, high = times.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        low = high = 0
+    width = (high - low) // ranges + 1
+    part = lambda c: F.least(F.floor((F.col(c) - low) / width), F.lit(ranges))
+    wanted = asked.select("as_of").distinct().where(F.col("as_of") >= low)
+    both = times.select(part("ts").alias("part"), F.col("ts").alias("at"), "ts", F.lit(None).cast("long").alias("as_of"))
+    both = both.unionByName(wanted.select(part("as_of").alias("part"), F.col("as_of").alias("at"), F.lit(None).cast("long").alias("ts"), "as_of"))
+    own = Window.partitionBy("part").orderBy("at", F.col("ts").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("here", F.last("ts", ignorenulls=True).over(own)).where("as_of is not null")
+    tops = times.groupBy(part("ts").alias("part")).agg(F.max("ts").alias("top"))
+    before = tops.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "top"))).alias("tops"))  # at most `ranges` + 1 entries
+    earlier = F.array_max(F.transform(F.filter("tops", lambda x: x["part"] < F.col("part")), lambda x: x["top"]))
+    hit = found.join(F.broadcast(before)).withColumn("ts", F.coalesce("here", earlier)).where("ts is not null").select("as_of", "ts")
     return hit.join(snapshots, "ts")

@@ -72,12 +72,20 @@ def shortest_path(graph: PropertyGraph, start: int, goal: int, labels: list | No
 
 
 def bidirectional_distance(graph: PropertyGraph, start: int, goal: int, labels: list | None = None, max_depth: int = 10) -> DataFrame:
-    """(length): hops from start to goal, by two frontiers that grow in turn; no row if too far."""
-    half = max_depth // 2
-    ahead = traverse(graph, start, labels, max_depth - half)
-    back = traverse(graph, goal, labels, half, direction="in")
-    met = ahead.join(back.withColumnRenamed("depth", "back"), "rid")
-    return met.agg(F.min(F.col("depth") + F.col("back")).alias("length")).where("length is not null")
+    """(length): hops from start to goal, by two frontiers that grow in turn and stop where they meet; no row if too far."""
+    spark, edges = graph.spark, graph.edges_of(labels)
+    one = lambda rid: spark.range(rid, rid + 1).select(F.col("id").alias("rid"))
+    sides = [[one(start), one(start), "out"], [one(goal), one(goal), "in"]]  # frontier, what was seen, direction
+    for length in range(max_depth + 1):
+        if not sides[0][0].join(sides[1][0], "rid", "left_semi").isEmpty():
+            return spark.createDataFrame([(length,)], "length int")
+        frontier, seen, direction = side = sides[length % 2]
+        moved = expand(frontier.withColumnRenamed("rid", "current"), edges, direction=direction).select(F.col("current").alias("rid")).distinct()
+        side[0] = durable(moved.join(seen, "rid", "left_anti"))
+        if side[0].isEmpty():
+            break
+        side[1] = seen.unionByName(side[0])
+    return spark.createDataFrame([], "length int")
 
 
 def path_pairs(graph: PropertyGraph, steps: list[str | int], split: int) -> DataFrame:

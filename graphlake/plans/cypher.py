@@ -10,15 +10,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
 from ..operators.gremlin import equals
+from ..operators.traverse import durable
 
 TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.\d+|\d+)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_][A-Za-z0-9_]*|`[^`]+`)|(?P<op><>|<=|>=|->|<-|\.\.|[-+*/=<>()\[\]{}:,.|%]))")
-CAP = 10  # hops of an unbounded length
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": F.collect_list}
 
 
@@ -39,7 +40,7 @@ class Relationship:
     types: list[str]
     direction: str
     low: int
-    high: int
+    high: int | None  # None: as far as the edges go
     variable: bool
 
 
@@ -175,11 +176,11 @@ class Parser:
                     self.take(":")
                     types.append(self.name())
             if self.take("*"):
-                variable, low, high = True, 1, CAP
+                variable, low, high = True, 1, None
                 if self.at < len(self.tokens) and self.tokens[self.at][0] == "num":
                     low = high = self.number()
                 if self.take(".."):
-                    high = self.number() if self.at < len(self.tokens) and self.tokens[self.at][0] == "num" else CAP
+                    high = self.number() if self.at < len(self.tokens) and self.tokens[self.at][0] == "num" else None
             self.need("]")
         if inward:
             self.need("-")
@@ -243,6 +244,23 @@ class Parser:
             e = ("math", op, e, self.atom())
         return e
 
+    def listing(self) -> tuple:
+        """A list, or a comprehension: [x IN list WHERE condition | value]."""
+        if self.peek("IN", 1):
+            var = self.name()
+            self.need("IN")
+            source, where = self.atom(), None
+            if self.take("WHERE"):
+                where = self.either()
+            value = self.either() if self.take("|") else ("var", var)
+            self.need("]")
+            return ("each", var, source, where, value)
+        values = []
+        while not self.take("]"):
+            values.append(self.either())
+            self.take(",")
+        return ("list", values)
+
     def atom(self) -> tuple:
         if self.take("-"):
             e = self.atom()
@@ -251,6 +269,8 @@ class Parser:
             e = self.either()
             self.need(")")
             return e
+        if self.take("["):
+            return self.listing()
         if self.at >= len(self.tokens):
             raise CypherError("expected an expression")
         kind, text = self.tokens[self.at]
@@ -300,6 +320,10 @@ class Compiler:
             known = self.nodes.setdefault(n.var, Node(n.var, n.label, {}))
             known.label = known.label or n.label
             known.props |= n.props
+        self.local: dict[str, Column] = {}
+        for p in parts_of(exprs):
+            if p[:2] == ("call", "properties") and p[3] and p[3][0][0] == "var":
+                self.keys.setdefault(p[3][0][1], set()).update({f for t in graph.tables.values() for f in t.columns} | {"type"})
         self.bound: set[str] = set()
         self.relations: list[str] = []
 
@@ -347,15 +371,21 @@ class Compiler:
         end = f"_to_{there}" if known else there
         eid = f"_e{len(self.relations)}"
         if r.variable:
-            if r.low < 0 or r.high < r.low:
+            if r.low < 0 or r.high is not None and r.high < r.low:
                 raise CypherError("a path's length is from m to n with m <= n")
             level = df.withColumns({end: F.col(here), eid: F.expr("cast(array() as array<string>)")})
             levels = [level] if r.low == 0 else []
-            for depth in range(1, r.high + 1):
+            for depth in count(1) if r.high is None else range(1, r.high + 1):
                 level = level.join(steps, F.col(end) == F.col("_a")).where(~F.array_contains(F.col(eid), F.col("eid")))
                 level = level.withColumns({end: F.col("_b"), eid: F.concat(F.col(eid), F.array("eid"))}).drop("_a", "_b", "eid")
+                if r.high is None:  # no edge comes twice in a path, so some level is empty
+                    level = durable(level)
+                    if level.isEmpty():
+                        break
                 if depth >= r.low:
                     levels.append(level)
+            if not levels:
+                levels = [level]
             df = reduce(DataFrame.unionByName, levels)
         else:
             df = df.join(steps, F.col(here) == F.col("_a")).withColumnRenamed("_b", end).withColumn(eid, F.array("eid")).drop("_a", "eid")
@@ -371,10 +401,14 @@ class Compiler:
         if kind == "lit":
             return F.lit(e[1])
         if kind == "prop":
-            if e[1] not in self.nodes:
+            if e[1] not in self.nodes and e[1] not in self.local:
                 raise CypherError(f"unknown variable {e[1]}")
+            if e[1] in self.local:
+                return self.local[e[1]][e[2]]
             return F.col(f"`{e[1]}`") if e[2] == "rid" else F.col(f"`{e[1]}.{e[2]}`")
         if kind == "var":
+            if e[1] in self.local:
+                return self.local[e[1]]
             if e[1] not in self.nodes:
                 raise CypherError(f"unknown variable {e[1]}")
             return F.col(e[1])
@@ -394,11 +428,26 @@ class Compiler:
             return {"starts": F.startswith, "ends": F.endswith, "contains": F.contains}[e[1]](a, b)
         if kind == "math":
             a, b = self.column(e[2]), self.column(e[3])
-            return {"+": a + b, "-": a - b, "*": a * b, "/": a / b, "%": a % b}[e[1]]
+            if e[1] in "/%":  # by zero: null
+                b = F.nullif(b, F.lit(0))
+                return a % b if e[1] == "%" else F.call_function("div", a, b) if self.integral(e[2]) and self.integral(e[3]) else a / b
+            return {"+": a + b, "-": a - b, "*": a * b}[e[1]]
         if kind == "call":
             return self.called(*e[1:])
+        if kind == "list":
+            return F.array(*map(self.column, e[1]))
+        if kind == "each":
+            return self.listed(*e[1:])
         raise CypherError(f"{kind} has no value")
 
+    def integral(self, e: tuple) -> bool:
+        """Whether an expression's value is surely an integer."""
+        if e[0] == "lit":
+            return isinstance(e[1], int) and not isinstance(e[1], bool)
+        if e[0] == "prop":
+            return e[2] == "rid" or self.kinds.get(f"{e[1]}.{e[2]}") in ("bigint", "int", "smallint", "tinyint")
+        return e[0] == "math" and self.integral(e[2]) and self.integral(e[3]) or e[0] == "call" and e[1] in ("count", "size", "id")
+
     def compared(self, op: str, left: tuple, right: tuple) -> Column:
         if op in ("=", "<>"):
             a, b = (right, left) if left[0] == "lit" else (left, right)
@@ -411,6 +460,26 @@ class Compiler:
         a, b = self.column(left), self.column(right)
         return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
+    def listed(self, var: str, source: tuple, where: tuple | None, value: tuple) -> Column:
+        """[var IN source WHERE where | value]"""
+
+        def within(x: Column, e: tuple) -> Column:
+            before, self.local = self.local, {**self.local, var: x}
+            try:
+                return self.column(e)
+            finally:
+                self.local = before
+
+        rows = self.column(source)
+        if where is not None:
+            rows = F.filter(rows, lambda x: F.coalesce(within(x, where), F.lit(False)))
+        return F.transform(rows, lambda x: within(x, value))
+
+    def whole(self, var: str) -> Column:
+        """A node as JSON: rid, type, and its properties in order of their names, without those it lacks."""
+        names = sorted({f for t in self.graph.tables.values() for f in t.columns} - {"rid", "type"})
+        return F.to_json(F.struct(F.col(var).alias("rid"), F.col(f"`{var}.type`").alias("type"), *(F.col(f"`{var}.{k}`").alias(k) for k in names)))
+
     def called(self, name: str, distinct: bool, args: list[tuple]) -> Column:
         if name in AGGREGATES:
             arg = F.lit(1) if args == [("star",)] else self.column(args[0])
@@ -418,6 +487,10 @@ class Compiler:
                 return F.count_distinct(arg) if name == "count" else F.collect_set(arg) if name == "collect" else AGGREGATES[name](arg)
             return AGGREGATES[name](arg)
         scalar = {"id": lambda x: x, "toupper": F.upper, "tolower": F.lower, "size": F.length, "abs": F.abs, "tostring": lambda x: x.cast("string"), "coalesce": F.coalesce}
+        if name == "properties" and args and args[0][0] == "var":
+            return self.whole(args[0][1])
+        if name == "size" and args and args[0][0] in ("list", "each"):
+            return F.size(self.column(args[0]))
         if name not in scalar:
             raise CypherError(f"unknown function {name}")
         return scalar[name](*map(self.column, args))

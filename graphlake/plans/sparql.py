@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unescaped_literal
+
 from ..sources.ntriples import PREFIXES, RDF_TYPE
 
 TOKEN = re.compile(r"""\s*(?:\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)|(?P<num>\d+(?:\.\d+)?)|(?P<op>&&|\|\||!=|<=|>=|[{}().;,=<>!*+/-])|(?P<name>[A-Za-z_][\w-]*(?::[\w./-]*\w)?:?|:[\w-]+))""")
@@ -204,7 +206,7 @@ class Parser:
 
 def content(c: Column) -> Column:
     """The text of a term: of an IRI without brackets, of a literal without quotes and tail."""
-    body = F.regexp_replace(F.regexp_extract(c, r'(?s)^"(.*)"[^"]*$', 1), r"\\(.)", "$1")
+    body = unescaped_literal(F.regexp_extract(c, r'(?s)^"(.*)"[^"]*$', 1))
     return F.when(c.startswith("<"), F.regexp_replace(c, "^<|>$", "")).otherwise(body)
 
 
@@ -359,5 +361,26 @@ class Compiler:
 
 
 def sparql(triples: DataFrame, text: str) -> DataFrame:
-    """SELECT: a column a variable; ASK: one row (boolean); CONSTRUCT: distinct (s, p, o)."""
+    """SELECT: a column a variable; ASK: one row (boolean); CONSTRUCT and DESCRIBE <iri>: distinct (s, p, o)."""
+    if found := re.match(r"(?s)\s*DESCRIBE\s+(<[^>]*>)\s*$", text, re.IGNORECASE):
+        return describe(triples, found[1])
     return Compiler(triples).dataframe(Parser(text).query())
+
+
+def json_rows(solutions: DataFrame) -> DataFrame:
+    """(row): each solution as a JSON object of its bound variables: type (uri, bnode or literal), value, datatype, xml:lang."""
+
+    def term(c: Column) -> Column:
+        tail = F.regexp_extract(c, r'(?s)^".*"([^"]*)$', 1)
+        kind = F.when(c.startswith("<"), "uri").when(c.startswith("_:"), "bnode").otherwise("literal")
+        value = F.when(c.startswith("_:"), F.substring(c, 3, 2**31 - 1)).when(c.startswith("<") | c.startswith('"'), content(c)).otherwise(c)
+        datatype = F.when(tail.startswith("^^"), F.regexp_replace(tail, r"^\^\^<|>$", ""))
+        language = F.when(tail.startswith("@"), F.substring(tail, 2, 99))
+        return F.when(c.isNotNull(), F.struct(kind.alias("type"), value.alias("value"), datatype.alias("datatype"), language.alias("xml:lang")))
+
+    return solutions.select(F.to_json(F.struct(*(term(F.col(v).cast("string")).alias(v) for v in solutions.columns))).alias("row"))
+
+
+def describe(triples: DataFrame, term: str) -> DataFrame:
+    """(s, p, o) of all triples that a term begins or ends."""
+    return triples.where((F.col("s") == term) | (F.col("o") == term)).select("s", "p", "o").distinct()

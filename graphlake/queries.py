@@ -646,3 +646,6 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     run = streams.windowed_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+from . import more_queries  # noqa: E402,F401  adds its own to FOUND

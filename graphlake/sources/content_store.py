@@ -20,9 +20,9 @@ def record_crc(cid: Column, kind: Column, length: Column) -> Column:
 
 def records(data: DataFrame, column: str = "data", kind: int = 0) -> DataFrame:
     """The distinct contents of a column as store records."""
-    raw = data.select(F.col(column).cast("binary").alias("data")).where("data is not null").dropDuplicates(["data"])
-    cid, length = content_id(F.col("data")), F.length("data").cast("long")
-    rows = raw.select(cid.alias("cid"), F.lit(kind).alias("kind"), band(F.col("data")).alias("band"), length.alias("length"), "data")
+    raw = data.select(F.col(column).cast("binary").alias("data")).where("data is not null")
+    raw = raw.select(content_id(F.col("data")).alias("cid"), F.length("data").cast("long").alias("length"), "data").dropDuplicates(["cid", "length"])
+    rows = raw.select("cid", F.lit(kind).alias("kind"), band(F.col("data")).alias("band"), "length", "data")
     return rows.withColumn("crc", record_crc(F.col("cid"), F.col("kind"), F.col("length")))
 
 
