@@ -1,17 +1,22 @@
-"""N-gram Jaccard join by MinHash banding, verified exactly.
+"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
-Documents with equal shingle sets are one class from the start. Each class has `trees` signatures of
-minimum hashes, one a band, and classes with an equal signature meet in that tree. The depth of the
-signatures is fixed beforehand: the longest at which a pair at the threshold meets in some tree with
-at least the target recall, 1 - (1 - s^depth)^trees. This replaces an LSH forest: at one fixed
-threshold a forest whose prefixes are shortened to that depth brings the same classes together.
+Documents with equal shingle sets are one class from the start. Each class has a signature of `depth`
+minimum hashes in each of `trees` trees. A tree is a prefix trie of its signatures, kept as their
+sorted order: neighbours in it share a prefix, whose length is their node's depth, and the classes
+below a node follow each other (ranges of the order are sorted apart, their ends are matched after).
 
-What meets is not expanded into pairs. Nodes link classes to the least class under them, connected
-components of these links bring together all classes that could match, and each component is
-verified in blocks of at most `block` classes: a task holds two blocks, counts the links between
+Matching prefixes are shortened from the whole signature on, level by level, until the target recall
+is reached. The recall of a level is estimated on what the forest holds: the neighbours that share at
+least the shortest prefix, with their similarity as their whole signatures tell it (a standard error
+lower); a pair of similarity s has a common prefix of length d in some tree with 1 - (1 - s^d)^trees.
+
+What meets is not expanded into pairs. Connected components of the neighbours that share a long enough
+prefix bring together all classes that could match, and each is verified in blocks of at most `block`
+classes that follow each other in the first tree. A task holds two blocks, counts the links between
 them from the shingles themselves, and gives one row a class (its links, and the least class of its
-verified cluster). So tasks are bounded whatever the component's size, and a component's links are
-all counted, those that no tree has found included.
+verified cluster). A small component is one block, of which all links are counted, those that no tree
+has found included. Of a larger one two blocks meet only if some of their classes share a node of the
+forest, so a long chain of components isn't compared with itself.
 
 A document without words matches nothing; one of fewer than five words has one shingle of all its
 words. A null id gets no class id of its own. Extra columns are ignored. Classes go by numbers of
@@ -21,6 +26,7 @@ texts under one id are each verified, and rows that share both count as copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +38,22 @@ from .common import arrow_schema, durable, slices, text_rows
 from .components import connected_components
 from .words import ODD, mixed, shingle_sets
 
-BLOCK = 256
+BLOCK, DEPTH, SHORTEST = 256, 8, 4
+
+
+def recall_at(similarity: float, trees: int, depth: int) -> float:
+    """The chance that a pair shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(threshold: float, trees: int, recall: float, deepest: int = 12) -> int:
-    """The longest prefix under which a pair at the threshold meets with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def matched_depth(found: dict[int, int], threshold: float, trees: int, recall: float, depth: int = DEPTH) -> int:
+    """The longest prefix with the target recall over found: agreeing hashes of a pair -> pairs."""
+    total = trees * depth
+    similar = [(max(threshold, k / total - math.sqrt(threshold * (1 - threshold) / total)), n) for k, n in found.items()]
+    for d in range(depth, SHORTEST, -1):
+        if sum(n * recall_at(s, trees, d) for s, n in similar) >= recall * sum(n for _, n in similar):
+            return d
+    return SHORTEST
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -48,34 +61,115 @@ def hashed(docs: DataFrame) -> DataFrame:
     return text_rows(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
-def signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, text_hash, h1, h2, n, keys): a hash of the shingle set, its size, and a trie node for each tree."""
-    schema = "doc_id long, text_hash long, h1 long, h2 long, n long, keys array<long>"
+def signed(docs: DataFrame, size: int, trees: int) -> DataFrame:
+    """(doc_id, text_hash, h1, h2, n, signature): a hash of the shingle set, its size, and 16 bits of each minimum hash, tree by tree."""
+    schema = "doc_id long, text_hash long, h1 long, h2 long, n long, signature binary"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(20_11)
-        a = draw.integers(0, 2**63, (1, trees * depth), np.uint64) * np.uint64(2) + np.uint64(1)
-        b = draw.integers(0, 2**63, (1, trees * depth), np.uint64)
+        draw, hashes = np.random.default_rng(20_11), trees * DEPTH
+        a = draw.integers(0, 2**63, (hashes, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        b = draw.integers(0, 2**63, (hashes, 1), np.uint64)
         for batch in batches:
             for rows in slices(batch):
-                sets = shingle_sets(rows.column("text").cast(pa.large_string()), size)
-                keys = np.zeros((len(sets), trees), np.uint64)
-                for i, s in enumerate(sets):
-                    least = np.full((1, trees * depth), 2**64 - 1, np.uint64)
-                    for k in range(0, len(s), 1024):
-                        least = np.minimum(least, (s[k : k + 1024, None] * a + b).min(0, keepdims=True))
-                    node = np.arange(trees, dtype=np.uint64)
-                    for d in range(depth):
-                        node = mixed(node * ODD + least[0, d * trees : (d + 1) * trees])
-                    keys[i] = node
+                sets = shingle_sets(rows.column("text").to_pylist(), size)
+                signatures = []
+                for s in sets:
+                    least = np.full(hashes, 2**64 - 1, np.uint64)
+                    for k in range(0, len(s), 256):
+                        least = np.minimum(least, (s[None, k : k + 256] * a + b).min(1))
+                    signatures.append((mixed(least) >> np.uint64(48)).astype(">u2").tobytes())
                 wrap = [np.array([f(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for f in (lambda s: mixed(s + ODD).sum(), lambda s: np.bitwise_xor.reduce(mixed(s ^ ODD)))]
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * trees + 1, trees, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(wrap[0]), pa.array(wrap[1]), pa.array([len(s) for s in sets], pa.int64()), listed.cast(out.field("keys").type)], schema=out)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(wrap[0]), pa.array(wrap[1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary())], schema=out)
 
     return hashed(docs).mapInArrow(run, schema)
 
 
+def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading hashes agree of rows of hashes."""
+    return np.logical_and.accumulate(a == b, axis=1).sum(1)
+
+
+def trie_neighbours(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, depth) of neighbours in a tree that share SHORTEST hashes at least, (id, place) in the first tree).
+
+    Each tree's signatures are sorted by range, ids last, so that no prefix is too common for a task.
+    The ends of the ranges, two rows a partition, are matched by the driver.
+    """
+    spark, width = classes.sparkSession, 2 * DEPTH
+    entries = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), 1 + t * width, width))).alias("tree", "label"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = entries.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    schema = "kind int, a long, b long, depth int, label binary"
+    out = arrow_schema(schema)
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, depth: np.ndarray, label: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(label, pa.binary())], schema=out)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, tree, raw = batch.column("id").to_numpy(), batch.column("tree").to_numpy(), batch.column("label").to_pylist()
+            labels = np.frombuffer(b"".join(raw), ">u2").reshape(-1, DEPTH)
+            if last is None:
+                yield rows(2, ids[:1], np.array([part]), tree[:1], raw[:1])
+            else:
+                ids, tree, labels = np.concatenate([[last[0]], ids]), np.concatenate([[last[1]], tree]), np.concatenate([last[2][None], labels])
+            shared = np.where(tree[1:] == tree[:-1], common_prefixes(labels[1:], labels[:-1]), 0)
+            hit = np.flatnonzero(shared >= SHORTEST)
+            yield rows(0, ids[hit], ids[hit + 1], shared[hit], [None] * len(hit))
+            first = np.flatnonzero(tree == 0)
+            first = first[first >= (last is not None)]
+            if len(first):
+                yield rows(1, ids[first], (np.int64(part) << 40) + at + np.arange(len(first)), np.zeros(len(first), np.int32), [None] * len(first))
+                at += len(first)
+            last = (ids[-1], tree[-1], labels[-1])
+        if last is not None:
+            yield rows(3, np.array([last[0]]), np.array([part]), np.array([last[1]]), [last[2].tobytes()])
+
+    walked = durable(ordered.mapInArrow(walk, schema))
+    ends = sorted((r.b, r.kind, r.a, r.depth, bytes(r.label)) for r in walked.where("kind >= 2").collect())
+    across = []
+    for (_, _, a, tree, x), (_, _, b, other, y) in zip(ends[1::2], ends[2::2], strict=False):
+        shared = next((k for k in range(DEPTH) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), DEPTH)
+        if tree == other and shared >= SHORTEST:
+            across.append((a, b, shared))
+    edges = walked.where("kind = 0").select("a", "b", "depth").unionByName(spark.createDataFrame(across, "a long, b long, depth int"))
+    return edges, walked.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("place"))
+
+
+def agreements(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(agree, n): how many neighbours have so many hashes in common, each pair once."""
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, -1) for c in ("x", "y"))
+                agree, n = np.unique((x == y).sum(1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(agree, pa.int64()), pa.array(n, pa.int64())], names=["agree", "n"])
+
+    return both.select("x", "y").mapInArrow(run, "agree long, n long").groupBy("agree").agg(F.sum("n").alias("n"))
+
+
+def blocks_of(met: DataFrame, places: DataFrame, classes: DataFrame, trees: int, depth: int, block: int) -> DataFrame:
+    """(id, component, part, partners): a class's block in its component and the blocks that it meets."""
+    sizes = met.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    members = met.join(sizes, "label").withColumnRenamed("label", "component")
+    small = members.where(F.col("n") <= block).select("id", "component", F.lit(0).cast("long").alias("part"), F.array(F.lit(0).cast("long")).alias("partners"))
+    large = durable(members.where(F.col("n") > block).join(places, "id").select("id", "component", F.expr(f"place div {block}").alias("part")))
+    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), 1 + t * 2 * DEPTH, 2 * depth))
+    nodes = large.join(classes.select("id", "signature"), "id").select("component", "part", F.posexplode(node).alias("tree", "prefix")).distinct()
+    sides = nodes.join(nodes.withColumnRenamed("part", "other"), ["component", "tree", "prefix"]).select("component", "part", "other").distinct()
+    partners = sides.groupBy("component", "part").agg(F.collect_list("other").alias("partners"))
+    return small.unionByName(large.join(partners, ["component", "part"]).select("id", "component", "part", "partners"))
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the common part of each left and right set."""
     if len(left) * len(right) <= 64:
@@ -131,21 +225,26 @@ def linked(ids: list[int], sets: list[np.ndarray], weights: list[int], sides: li
     return [(ids[i], int(links[i]), ids[find(i)]) for i in range(n) if links[i]]
 
 
-def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
-    """(id, links, root) of members (id, doc_id, text_hash, weight, component, part, parts), a row a block pair."""
-    schema = "component long, p int, q int, id long, weight long, part int, shingles binary"
+def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(id, links, root) of members (id, doc_id, text_hash, weight, component, part, partners), a row a block pair."""
+    schema = "component long, p long, q long, id long, weight long, part long, shingles binary"
     out = arrow_schema(schema)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
-                found = shingle_sets(rows.column("text").cast(pa.large_string()), size)
+                found = shingle_sets(rows.column("text").to_pylist(), size)
                 cols = {n: rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names) if n != "text"}
-                for lo in range(0, len(found), 256):
-                    made = []
-                    for i in range(lo, min(lo + 256, len(found))):
-                        b, raw = cols["part"][i], found[i].tobytes()
-                        made += [(cols["component"][i], min(b, j), max(b, j), cols["id"][i], cols["weight"][i], b, raw) for j in range(cols["parts"][i])]
+                made, size_of = [], 0
+                for i, shingles in enumerate(found):
+                    b, raw = cols["part"][i], shingles.tobytes()
+                    for j in cols["partners"][i]:
+                        made.append((cols["component"][i], min(b, j), max(b, j), cols["id"][i], cols["weight"][i], b, raw))
+                        size_of += len(raw) + 48
+                        if size_of > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+                            made, size_of = [], 0
+                if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
     result = "id long, links long, root long"
@@ -175,11 +274,11 @@ def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float, b
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=given)
 
-    pairs = hashed(docs).join(members, ["doc_id", "text_hash"]).select("component", "part", "parts", "id", "weight", "text").mapInArrow(sets_of, schema)
+    pairs = hashed(docs).join(members, ["doc_id", "text_hash"]).select("component", "part", "partners", "id", "weight", "text").mapInArrow(sets_of, schema)
     return pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "id").mapInArrow(count, result)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of each document.
 
     class_id: the least doc_id of the documents joined to it by links; n_links: the other documents (rows)
@@ -188,20 +287,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     return classified(docs, threshold, size, trees, recall, block).select("doc_id", "class_id", "n_links")
 
 
-def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.999, block: int = BLOCK) -> DataFrame:
+def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, class_id, class_text, n_links): near_duplicates, with the hash of the text and of the text that class_id stands for."""
-    rows = durable(signed(docs, size, trees, prefix_depth(threshold, trees, recall)))
+    rows = durable(signed(docs, size, trees))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
-    classes = classes.where("first is not null").select(F.col("first.doc_id").alias("rep"), "first.text_hash", "h1", "h2", "weight", "keys")
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"), F.min("signature").alias("signature"))
+    classes = classes.where("first is not null").select(F.col("first.doc_id").alias("rep"), "first.text_hash", "h1", "h2", "weight", "signature")
     classes = durable(classes.orderBy("rep", "h1", "h2").withColumn("id", F.monotonically_increasing_id()))
-    nodes = classes.select("id", F.posexplode("keys").alias("tree", "node"))
-    least = nodes.groupBy("tree", "node").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = connected_components(nodes.join(least, ["tree", "node"]).select("a", F.col("id").alias("b")).distinct())
-    sizes = met.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    members = met.join(sizes, "label").join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight"), "id")
-    members = members.select("id", "doc_id", "text_hash", "weight", F.col("label").alias("component"), F.expr("int(pmod(xxhash64(id), parts))").alias("part"), "parts")
-    links = durable(verified(members, docs, size, threshold, block))
+    edges, places = trie_neighbours(classes, trees)
+    likely = threshold - 3 * math.sqrt(threshold * (1 - threshold) / (trees * DEPTH))
+    found = {r.agree: r.n for r in agreements(edges, classes).collect() if r.agree >= likely * trees * DEPTH}
+    depth = matched_depth(found, threshold, trees, recall)
+    met = connected_components(edges.where(F.col("depth") >= depth).select("a", "b").distinct())
+    members = blocks_of(met, places, classes, trees, depth, block).join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight"), "id")
+    links = durable(verified(members, docs, size, threshold))
     clusters = connected_components(links.select(F.col("root").alias("a"), F.col("id").alias("b")))
     least_ids = classes.select(F.col("id").alias("label"), F.col("rep").alias("class_id"), F.col("text_hash").alias("class_text"))
     per_class = links.groupBy("id").agg(F.sum("links").alias("links")).join(clusters, "id").join(least_ids, "label").drop("label")

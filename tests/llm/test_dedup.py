@@ -56,8 +56,26 @@ def test_jaccard_empty(docs_of):
 
 
 def test_prefixes_shorten_to_the_recall():
-    assert jaccard.prefix_depth(0.8, 20, 0.999) == 5
-    assert 1 - (1 - 0.8**5) ** 20 >= 0.999 > 1 - (1 - 0.8**6) ** 20
+    copies, edge = {158: 1000}, {128: 1000}  # of 160 hashes
+    assert jaccard.matched_depth(copies, 0.8, 20, 0.9999) > jaccard.matched_depth(edge, 0.8, 20, 0.9999) == jaccard.SHORTEST
+    assert jaccard.matched_depth(edge, 0.8, 20, 0.99) == 7 and jaccard.recall_at(0.8, 20, 7) >= 0.99 > jaccard.recall_at(0.8, 20, 8)
+    assert jaccard.matched_depth({}, 0.8, 20, 0.9999) == jaccard.DEPTH
+
+
+def test_neighbours_are_those_of_the_sorted_trie(spark):
+    draw = np.random.default_rng(5)
+    signatures = draw.integers(0, 2, (200, 3, jaccard.DEPTH)).astype(">u2")
+    rows = [(int(i), bytearray(s.tobytes())) for i, s in enumerate(signatures)]
+    edges, places = jaccard.trie_neighbours(spark.createDataFrame(rows, "id long, signature binary"), 3)
+    want = []
+    for t in range(3):
+        order = sorted(range(200), key=lambda i: (signatures[i, t].tobytes(), i))
+        if t == 0:
+            assert [r.id for r in places.orderBy("place").collect()] == order
+        for x, y in zip(order, order[1:]):
+            n = next((k for k in range(jaccard.DEPTH) if signatures[x, t, k] != signatures[y, t, k]), jaccard.DEPTH)
+            want += [(x, y, n)] if n >= jaccard.SHORTEST else []
+    assert sorted(tuple(r) for r in edges.collect()) == sorted(want)
 
 
 def test_components(spark):
