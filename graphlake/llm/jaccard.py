@@ -31,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, durable, slices, text_rows
 from .components import connected_components
 from .words import ODD, mixed, shingle_sets
 
-BLOCK, DEPTH, SHORTEST = 256, 8, 4
+BLOCK, DEPTH, SHORTEST, STRETCH = 256, 8, 4, 4096
 
 
 def recall_at(similarity: float, trees: int, depth: int) -> float:
@@ -162,7 +162,13 @@ def blocks_of(met: DataFrame, places: DataFrame, classes: DataFrame, trees: int,
     sizes = met.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = met.join(sizes, "label").withColumnRenamed("label", "component")
     small = members.where(F.col("n") <= block).select("id", "component", F.lit(0).cast("long").alias("part"), F.array(F.lit(0).cast("long")).alias("partners"))
-    large = durable(members.where(F.col("n") > block).join(places, "id").select("id", "component", F.expr(f"place div {block}").alias("part")))
+    # a class's rank in its component, by counts of stretches of the first tree; no component is sorted as a whole
+    large = members.where(F.col("n") > block).join(places, "id").withColumn("stretch", F.expr(f"place div {STRETCH}"))
+    counts = large.groupBy("component", "stretch").agg(F.count(F.lit(1)).alias("own"))
+    before = counts.withColumn("before", F.sum("own").over(Window.partitionBy("component").orderBy("stretch")) - F.col("own")).drop("own")
+    within = F.row_number().over(Window.partitionBy("component", "stretch").orderBy("place"))
+    large = large.withColumn("within", within).join(before, ["component", "stretch"])
+    large = durable(large.select("id", "component", F.expr(f"(before + within - 1) div {block}").alias("part")))
     node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), 1 + t * 2 * DEPTH, 2 * depth))
     nodes = large.join(classes.select("id", "signature"), "id").select("component", "part", F.posexplode(node).alias("tree", "prefix")).distinct()
     sides = nodes.join(nodes.withColumnRenamed("part", "other"), ["component", "tree", "prefix"]).select("component", "part", "other").distinct()
@@ -278,7 +284,7 @@ def verified(members: DataFrame, docs: DataFrame, size: int, threshold: float) -
     return pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "id").mapInArrow(count, result)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9995, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) of each document.
 
     class_id: the least doc_id of the documents joined to it by links; n_links: the other documents (rows)
@@ -287,7 +293,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     return classified(docs, threshold, size, trees, recall, block).select("doc_id", "class_id", "n_links")
 
 
-def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
+def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.9995, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, class_id, class_text, n_links): near_duplicates, with the hash of the text and of the text that class_id stands for."""
     rows = durable(signed(docs, size, trees))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
@@ -295,7 +301,7 @@ def classified(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     classes = classes.where("first is not null").select(F.col("first.doc_id").alias("rep"), "first.text_hash", "h1", "h2", "weight", "signature")
     classes = durable(classes.orderBy("rep", "h1", "h2").withColumn("id", F.monotonically_increasing_id()))
     edges, places = trie_neighbours(classes, trees)
-    likely = threshold - 3 * math.sqrt(threshold * (1 - threshold) / (trees * DEPTH))
+    likely = threshold - math.sqrt(threshold * (1 - threshold) / (trees * DEPTH))
     found = {r.agree: r.n for r in agreements(edges, classes).collect() if r.agree >= likely * trees * DEPTH}
     depth = matched_depth(found, threshold, trees, recall)
     met = connected_components(edges.where(F.col("depth") >= depth).select("a", "b").distinct())
