@@ -25,7 +25,7 @@ def unescaped_literal(c: Column) -> Column:
 
     def undone(x: Column) -> Column:
         code = F.conv(F.substring(x, 3, 8), 16, 10).cast("bigint")
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        wide = F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         return F.when(x.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), wide).otherwise(F.coalesce(simple[x], x))
 
     return F.when(c.contains("\\"), F.array_join(F.transform(parts, undone), "")).otherwise(c)

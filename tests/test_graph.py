@@ -232,3 +232,46 @@ def test_engine(spark, friends):
     assert rows(e.without([2]).graph.edges) == []
     assert e.search("bob", "name").count() == 1
     assert e.gremlin("V().count()").first()[0] == 4
+
+
+def test_escapes_are_undone_in_order(spark):
+    from graphlake.functions.text import escaped_literal, unescaped_literal
+    from graphlake.plans.sparql import content
+
+    texts = ["line\nbreak", "a\\nb", 'q"q', "tab\tr\r", "\\", "\\\\n", "", "é😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(unescaped_literal(escaped_literal(F.col("t")))).collect()] == texts
+    odd = spark.createDataFrame([(r"caf\u00e9 \U0001F600 \t\x",)], "t string")
+    assert odd.select(unescaped_literal(F.col("t"))).first()[0] == "café 😀 \t\\x"
+    assert df.select(content(F.concat(F.lit('"'), escaped_literal(F.col("t")), F.lit('"@en')))).collect()[0][0] == texts[0]
+
+
+def test_unbounded_paths_go_to_the_end(spark):
+    from graphlake.model import from_rows
+    from graphlake.plans.cypher import cypher
+
+    chain = from_rows(spark, [(i, '{"type":"N"}') for i in range(14)], [(i, i + 1, 1) for i in range(13)], {"NEXT": 1})
+    assert cypher(chain, "MATCH (a {rid: 0})-[:NEXT*]->(b) RETURN b.rid AS b").count() == 13
+    ring = from_rows(spark, [(i, '{"type":"N"}') for i in range(4)], [(i, (i + 1) % 4, 1) for i in range(4)], {"NEXT": 1})
+    assert sorted(r.b for r in cypher(ring, "MATCH (a {rid: 0})-[:NEXT*2..]->(b) RETURN b.rid AS b").collect()) == [0, 2, 3]
+    assert cypher(ring, "MATCH (a {rid: 0})-[:NEXT]->(b) RETURN 7 / 2 AS x, 7 / 0 AS y, 7.0 / 2 AS z").first() == (3, None, 3.5)
+
+
+def test_a_wide_closure_is_refused(spark):
+    from graphlake.operators import rdfs
+
+    schema = [(f"<c{i}>", rdfs.SUB_CLASS, f"<c{i + 1}>") for i in range(200)]
+    rows = spark.createDataFrame([("<x>", rdfs.RDF_TYPE, "<c0>")], "s string, p string, o string")
+    assert rdfs.infer(rows, schema).where("s = '<x>'").count() == 200
+    with pytest.raises(ValueError):
+        rdfs.infer(rows, schema, most_closure=1000)
+
+
+def test_snapshots_by_ranges(spark):
+    from graphlake.operators import temporal
+
+    draw = random.Random(3)
+    times, asked = sorted({draw.randrange(10**6) for _ in range(300)}), [draw.randrange(-10, 11 * 10**5) for _ in range(400)]
+    got = temporal.nearest_snapshot(spark.createDataFrame([(t,) for t in times], "ts long"), spark.createDataFrame([(a,) for a in asked], "as_of long"), ranges=7)
+    assert {(r.as_of, r.ts) for r in got.collect()} == {(a, max(t for t in times if t <= a)) for a in asked if a >= times[0]}
+    assert temporal.nearest_snapshot(spark.createDataFrame([], "ts long"), spark.createDataFrame([(1,)], "as_of long")).count() == 0
