@@ -162,7 +162,8 @@ def cover(rows: list[dict], precision: float = 0.95, least: int = 3, most_rules:
 def learn_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[Rule]:
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `most` rows
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `most` ids
+    texts = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     rows = with_statistics(texts).select("doc_id", F.expr("int(quality = 0)").alias("bad"), *(F.expr(f"double({e})").alias(n) for n, e in FEATURES.items()))
     found = [r.asDict() for r in rows.collect()]
     return cover(sorted(found, key=lambda r: (r["doc_id"], *(r[f] for f in FEATURES))))

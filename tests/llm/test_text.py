@@ -154,3 +154,15 @@ def test_decision_list_is_learned(spark, docs_of):
 def test_no_labels_no_rules(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.learn_rules(docs_of([(1, "a")]), labels) == []
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, docs_of):
+    """Of several rows under one labelled id one is learned from, whatever their order; all are judged."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    once = [(i, " ".join(word() + ("%" if i % 2 else "") for _ in range(80))) for i in range(120)]
+    rows = once + [(1, once[1][1])] * 300 + [(2, "~ other text under the same id")] + [(3, None)] * 5
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in once] * 2, "doc_id long, quality int")
+    want = quality.learn_rules(docs_of(once), labels)
+    assert want and quality.learn_rules(docs_of(rows), labels) == quality.learn_rules(docs_of(rows[::-1], 5), labels) == want
+    assert quality.judged(docs_of(rows).drop("n_words", "kept"), labels).count() == len(rows)
