@@ -22,7 +22,8 @@ word stay and match nothing.
 6. Each document that has lines to go (by such slots) meets them; the others pass unshuffled.
 
 Words are known by 64-bit hashes, classes by two of them. Rows move as blobs (see blobs.py). Rows
-with the same id are told apart by their texts' checksum; rows alike in both are judged alike. Null
+with the same id are told apart by their texts' checksum; rows alike in both are one document,
+so that none of its copies removes a line of another. Null
 texts are empty, a null id keeps its text whole.
 """
 
@@ -188,7 +189,7 @@ def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets:
         order = np.lexsort((c["line"], c["tag"], c["doc"], c["b"], c["a"]))
         a, b = c["a"][order], c["b"][order]
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        gone, stays = order[~first], order[first]
+        gone, stays = behind_first(c, order, first), order[first]
         pick = lambda rows, *names: {k: c[k][rows] for k in names}
         yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), pick(gone, *LINE))
         yield from dealt(CLASS, (c["a"][stays] % np.uint64(buckets)).astype(np.int32), pick(stays, "a", "b", *LINE))
@@ -216,6 +217,12 @@ def dealt_lines(texts: DataFrame, rarity: np.ndarray, threshold: float, buckets:
     return texts.mapInArrow(run, BLOB)
 
 
+def behind_first(c: Columns, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The rows that are not the first line of their class, nor that line of a repeated row."""
+    head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return order[np.any([c[k][order] != c[k][head] for k in LINE], axis=0)]
+
+
 def candidate_pairs(c: Columns, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(earlier, later, differing mark bits) of rows that share a key and pass the size, place and mark filters.
 
@@ -270,7 +277,7 @@ def met(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
             c = loaded(held.pop(CLASS))
             order = np.lexsort((c["line"], c["tag"], c["doc"], c["b"], c["a"]))
             a, b = c["a"][order], c["b"][order]
-            gone = order[np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])]
+            gone = behind_first(c, order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             yield from dealt(GONE, doc_bucket(c["doc"][gone], buckets), {k: c[k][gone] for k in LINE})
         if PREFIX not in held and WIDE not in held:
             return

@@ -122,6 +122,14 @@ def test_lines_equal_brute_force(docs_of, heavy):
     assert line_dedup.dedup_lines(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_lines_of_repeated_rows_stay(docs_of, n):
+    rows = [(3, "a b c"), (4, "x y\nx y\nz"), (5, "a b c\nown"), (6, "p q r s t\np q r s t u")]
+    out = line_dedup.dedup_lines(docs_of(rows * 3, n)).collect()
+    want = lines_brute(rows)
+    assert len(out) == 12 and all((r.n_removed, r.text) == want[r.doc_id] for r in out)
+
+
 def test_suffix_array_is_sorted():
     draw = np.random.default_rng(0)
     for _ in range(150):
