@@ -28,7 +28,9 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and n_distinct_words, n_lines.
 
     A 3-word window counts as found again by the 64-bit hash of its words' hashes. Sorting the
-    windows of a text brings equal ones together, so no text needs more than n log n steps.
+    windows of a text brings equal ones together, so no text needs more than n log n steps. The row
+    number, never negative, keeps filters above the statistics: pushed below, they would compute them
+    anew for every window of a text.
     """
     text = F.coalesce("text", F.lit(""))
     bare = F.btrim(text, F.lit(SPACE))
@@ -50,7 +52,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated.cast("long"),
+        "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, repeated.cast("long")),
         "n_distinct_words": F.size(F.array_distinct("_hashes")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
     }).drop("_words", "_lines", "_hashes", "_windows", "_covered")
@@ -186,10 +188,5 @@ def judged(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Dat
 
 
 def kept_only(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """The rows of docs that judged() keeps, with its columns.
-
-    The row number keeps the filter above the statistics: pushed below, it would compute them anew
-    for every window of a text.
-    """
-    scored = judged(docs, labels, most).withColumn("_row", F.monotonically_increasing_id())
-    return scored.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+    """The rows of docs that judged() keeps, with its columns."""
+    return judged(docs, labels, most).where("kept")
