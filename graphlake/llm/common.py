@@ -32,12 +32,27 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends; read when its plan is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the shared folder: later reads survive lost executors."""
-    root = shared_root(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """df, computed once and held in the shared folder: later reads survive lost executors.
+
+    Its shuffle files go as soon as it is written. A plan of its own is made for that, so that no
+    other query over df meets a shuffle that is gone.
+    """
+    spark = df.sparkSession
+    root = shared_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        own = df.select("*")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return own.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
