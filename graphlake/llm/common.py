@@ -7,12 +7,14 @@ an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -113,3 +115,17 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Reco
     step = max(1, n * most_bytes // max(most_bytes, batch.nbytes))
     for i in range(0, n, step):
         yield batch.slice(i, step)
+    give_back()
+
+
+@cache
+def trimmer() -> Callable[[int], int] | None:
+    """The C library's call that hands freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands freed memory back: a worker process outlives its tasks, and what it keeps adds up beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := trimmer():
+        trim(0)
