@@ -72,8 +72,8 @@ def by_bucket(df: DataFrame, *then: Column) -> DataFrame:
     return df.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", *then)
 
 
-def per_bucket(blobs: DataFrame, of: Callable[[dict[int, list[bytes]]], Iterator[pa.RecordBatch]], schema: str = BLOB) -> DataFrame:
-    """Brings each bucket's blobs together and gives them, by kind, to `of`, one bucket at a time."""
+def per_bucket(blobs: DataFrame, of: Callable[..., Iterator[pa.RecordBatch]], schema: str = BLOB, named: bool = False) -> DataFrame:
+    """Brings each bucket's blobs together and gives them, by kind, to `of`, one bucket at a time; named: and the bucket's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -81,11 +81,11 @@ def per_bucket(blobs: DataFrame, of: Callable[[dict[int, list[bytes]]], Iterator
             for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != key:
                     if held:
-                        yield from of(held)
+                        yield from of(held, *[key] * named)
                     key, held = bucket, {}
                 held.setdefault(kind, []).append(data)
         if held:
-            yield from of(held)
+            yield from of(held, *[key] * named)
 
     return by_bucket(blobs.select("kind", "bucket", "data")).mapInArrow(run, schema)
 

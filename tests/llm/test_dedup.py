@@ -122,6 +122,27 @@ def test_lines_equal_brute_force(docs_of, heavy):
     assert line_dedup.dedup_lines(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("nearest", [1, 2, 4])
+def test_lines_of_crowds_equal_brute_force(docs_of, nearest):
+    draw = random.Random(12)
+    rows = []
+    for crowd in range(4):  # similarities on both sides of the threshold, so that likely candidates fail
+        base = [f"b{crowd}x{i}" for i in range(draw.choice([18, 40, 150]))]
+        for i, line in enumerate(near_copies(draw, base, 60, len(base) // 9)):
+            rows.append((crowd * 100 + i, line + "\n" + near_copies(draw, base, 1, len(base) // 20)[0]))
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(docs_of(rows), nearest=nearest).collect()}
+    assert got == lines_brute(rows)
+
+
+def test_pairs_of_a_crowd_follow_its_lines(docs_of):
+    draw, base, sent = random.Random(13), [f"b{i}" for i in range(60)], []
+    for n in (200, 800):
+        texts = line_dedup.string_texts(docs_of(list(enumerate(near_copies(draw, base, n, 3)))))
+        blobs = line_dedup.met(line_dedup.dealt_lines(texts, line_dedup.rarities(texts), 0.8, 4, 8192), 0.8, 4)
+        sent.append(sum(len(r.data) for r in blobs.where(f"kind <> {line_dedup.GONE}").collect()))
+    assert sent[1] < 6 * sent[0]
+
+
 @pytest.mark.parametrize("n", [1, 4])
 def test_lines_of_repeated_rows_stay(docs_of, n):
     rows = [(3, "a b c"), (4, "x y\nx y\nz"), (5, "a b c\nown"), (6, "p q r s t\np q r s t u")]
