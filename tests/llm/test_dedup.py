@@ -90,6 +90,21 @@ def test_components(spark):
     assert got == label
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_in_rounds_and_at_once(spark, monkeypatch, small):
+    draw, written = random.Random(8), []
+    edges = [(i, i + 1) for i in range(100, 160)] + [(draw.randrange(80), draw.randrange(80)) for _ in range(40)]
+    monkeypatch.setattr(components, "durable", lambda df, own=components.durable: written.append(1) or own(df))
+    got = {r.id: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), **({} if small else {"small": 0})).collect()}
+    label = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    assert not small or len(written) <= 2  # few edges take no rounds of jobs
+
+
 def lines_brute(rows, t=0.8):
     seen, out = [], {}
     for d, text in sorted(rows):
